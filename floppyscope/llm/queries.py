@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floppyscope.llm.lm import op2_lm_score
+from floppyscope.llm.packing import op5_packing
 from floppyscope.llm.quality import op9_quality
+from floppyscope.llm.tokenfiles import op10_tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
+    "op5_packing": op5_packing,
     "op9_quality": op9_quality,
+    "op10_tokenfiles": op10_tokenfiles,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
