@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from floppyscope.llm.lm import op2_lm_score
 from floppyscope.llm.packing import op5_packing
 from floppyscope.llm.quality import op9_quality
+from floppyscope.llm.simhash import op6_simhash
 from floppyscope.llm.tokenfiles import op10_tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op9_quality": op9_quality,
     "op10_tokenfiles": op10_tokenfiles,
 }
