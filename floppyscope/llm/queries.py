@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floppyscope.llm.html import op1_html
 from floppyscope.llm.lm import op2_lm_score
 from floppyscope.llm.packing import op5_packing
 from floppyscope.llm.quality import op9_quality
@@ -13,6 +14,7 @@ from floppyscope.llm.simhash import op6_simhash
 from floppyscope.llm.tokenfiles import op10_tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_lm_score": op2_lm_score,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
