@@ -79,7 +79,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     linked = links = 0
     aside = article = False
-    raw = ""
+    pos = 0
 
     def flush() -> None:
         nonlocal linked
@@ -90,12 +90,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        token = m.group()
-        if raw:
-            if token.startswith("</") and token[2 : 2 + len(raw)].lower() == raw and not token[2 + len(raw) : 3 + len(raw)].isalnum():
-                raw = ""
-            continue
+    while pos < len(page):
+        m = _TOKEN.match(page, pos)
+        token, pos = m.group(), m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
             if links:
@@ -129,10 +126,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         closed = token.endswith("/>")
         if name in RAW:
-            if not closed:
-                raw = name
-            if name != "noscript":
-                parts.append(" ")
+            if not closed:  # up to its end tag, whatever stands there
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, pos)
+                pos = end.start() if end else len(page)
+            parts.append(" ")
             continue
         if name == "a":
             links += 1
