@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from floppyscope.llm.html import op1_html
 from floppyscope.llm.lm import op2_lm_score
 from floppyscope.llm.packing import op5_packing
+from floppyscope.llm.pii import op8_pii
 from floppyscope.llm.quality import op9_quality
 from floppyscope.llm.simhash import op6_simhash
 from floppyscope.llm.tokenfiles import op10_tokenfiles
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_tokenfiles": op10_tokenfiles,
 }
