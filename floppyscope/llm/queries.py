@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floppyscope.llm import decontaminate
 from floppyscope.llm.html import op1_html
 from floppyscope.llm.lm import op2_lm_score
 from floppyscope.llm.packing import op5_packing
@@ -19,10 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_tokenfiles": op10_tokenfiles,
 }
 
 #: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
+}
