@@ -61,7 +61,7 @@ def _windows(words: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), window)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if its rows are few enough."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -72,7 +72,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null texts have no words; an item without words hits nothing. Items with a null id hit
     words but aren't counted or listed. Repeated rows come out as often as they went in. An
-    empty benchmark hits nothing.
+    empty benchmark hits nothing. ``key`` is row_key of the row.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0").withColumn("n", F.least(F.lit(SPAN), F.size("w")))
     items = written(items, "items")
@@ -84,7 +84,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # One pass over all documents: a row for each fingerprint, which adds up to one row for each text.
     parsed = documents.select("doc_id", row_key().alias("key"), let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _prints(w, short).alias("prints"))).alias("d"))
     spread = parsed.select("doc_id", "key", F.col("d.n_words").alias("n_words"), F.posexplode_outer("d.prints").alias("at", "s"))
-    found = spread.select("doc_id", "key", "n_words", F.coalesce("at", F.lit(0)).alias("at"), "s.n", "s.f").join(_small(item_prints), ["n", "f"], "left")
+    found = spread.select("doc_id", "key", "n_words", F.coalesce("at", F.lit(0)).alias("at"), "s.n", "s.f").join(small(item_prints), ["n", "f"], "left")
     rows = found.groupBy("key", "doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.count_if(F.col("at") == 0).alias("copies"), F.coalesce(F.max("hit"), F.lit(False)).alias("near"))
     rows = written(rows, "decontaminate")
 
@@ -92,11 +92,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = item_windows.groupBy("n", "s.h", "s.h2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     item_windows = written(item_windows, "item-windows")
     near = rows.where("near").select("key").distinct()
-    texts = documents.select(row_key().alias("key"), "text").join(_small(near), "key", "left_semi")
+    texts = documents.select(row_key().alias("key"), "text").join(small(near), "key", "left_semi")
     lengths = F.explode(F.array(*map(F.lit, [*short, SPAN]))).alias("n")
     windows = texts.select("key", words_of(F.col("text")).alias("w")).select("key", "w", lengths).where(F.size("w") >= F.col("n"))
     windows = windows.select("key", "n", F.explode(_windows(F.col("w"), F.col("n"))).alias("s")).select("key", "n", "s.p", "s.h", "s.h2")
-    hits = windows.join(_small(item_windows), ["n", "h", "h2"]).groupBy("key").agg(F.collect_set(F.struct("p", "n")).alias("spans"), F.collect_set("items").alias("items"))
+    hits = windows.join(small(item_windows), ["n", "h", "h2"]).groupBy("key").agg(F.collect_set(F.struct("p", "n")).alias("spans"), F.collect_set("items").alias("items"))
     cover = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("hit"), F.lit(1).alias("next")),
@@ -106,6 +106,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.select("key", cover.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     out = rows.join(hits, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
+        "key",
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -116,7 +117,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
 _WORDS_SQL = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda x: x <> '')"

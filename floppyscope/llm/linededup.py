@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floppyscope.llm.common import table, written
-from floppyscope.llm.decontaminate import _small
+from floppyscope.llm.decontaminate import small
 
 #: Characters from which a line can have a near-duplicate; shorter lines must be equal.
 MIN_CHARS = 20
@@ -65,7 +65,7 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     n = F.char_length("line")
     hashed = _lines(rows).where(n >= MIN_CHARS).select("line", n.alias("chars"), F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.struct("doc_id", "row", "n").alias("place"))
     halves = hashed.withColumn("key", F.explode(_segment_keys(F.col("line"), F.col("chars"), 2)))
-    some = halves.join(_small(shared), "key", "left_semi")
+    some = halves.join(small(shared), "key", "left_semi")
     # Equal lines meet here before they are shuffled.
     some = written(some.groupBy("h", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("chars").alias("chars")), "half-shared")
     keyed = some.select("h", "h2", F.explode(_segment_keys(F.col("line"), F.col("chars"), SEGMENTS)).alias("key"))
@@ -97,37 +97,38 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, text and any other columns) with ``text`` cut down to the lines
-    that stay, and the counts n_lines (not blank) and n_removed. Columns of these names must
-    not be there already.
+    """(document, n_lines, n_removed) of every row of ``documents``: all its columns as one
+    struct, with ``text`` cut down to the lines that stay, and counts of lines (not blank).
 
     Earlier is by doc_id (null first), then by the row's place in the table, then by the line.
     A line goes by an earlier one whether or not that one goes itself. Blank lines stay. A null
     text stays null; no row is dropped.
     """
-    rows = documents.withColumn("row", F.monotonically_increasing_id())
+    rows = documents.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("row"))
+    texts = rows.select("document.doc_id", "row", "document.text")
     n = F.char_length("line")
     halves = F.when(n >= MIN_CHARS, _segment_keys(F.col("line"), n, 2)).otherwise(F.array().cast("array<bigint>"))
-    lines = written(_lines(rows.select("doc_id", "row", "text")).select("doc_id", "row", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), halves.alias("halves")), "lines")
-    near = written(_near(rows.select("doc_id", "row", "text"), lines), "near-lines")
+    lines = written(_lines(texts).select("doc_id", "row", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), halves.alias("halves")), "lines")
+    near = written(_near(texts, lines), "near-lines")
     place = F.struct("doc_id", "row", "n")
     many = lines.groupBy("h", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("h", "h2", "kept")
     # Of equal lines all but the first go; of a line near an earlier one all go.
     known = many.join(near.select("h", "h2", F.lit(True).alias("near")), ["h", "h2"], "full")
     known = written(known.select("h", "h2", F.when(F.col("near"), F.lit(None)).otherwise(F.col("kept")).alias("kept")), "known-lines")
-    gone = lines.join(_small(known), ["h", "h2"]).where(F.col("kept").isNull() | (F.struct("doc_id", "row", "n") != F.col("kept")))
+    gone = lines.join(small(known), ["h", "h2"]).where(F.col("kept").isNull() | (F.struct("doc_id", "row", "n") != F.col("kept")))
     gone = written(gone.groupBy("row").agg(F.collect_set("n").alias("gone")), "gone-lines")
     # A broadcast list holds as many numbers as its documents have lines.
-    out = rows.join(_small(gone.select("row", "gone", F.lit(1).alias("some"))), "row", "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    total = F.size(F.filter(parts, lambda x: F.length(F.translate(x, " \t\r", "")) > 0))
-    counts = {"n_lines": F.coalesce(F.greatest(total, F.lit(0)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.greatest(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"), "text": kept}
-    return out.withColumns(counts).drop("row", "gone", "some")
+    out = rows.join(small(gone.select("row", "gone", F.lit(1).alias("some"))), "row", "left")
+    parts = F.split("document.text", "\n", -1)
+    kept = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    filled = F.size(F.filter(parts, lambda x: F.length(F.translate(x, " \t\r", "")) > 0))
+    counts = [F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long") for n in (filled, F.size("gone"))]
+    return out.select(F.col("document").withField("text", kept).alias("document"), counts[0].alias("n_lines"), counts[1].alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("document.*", "n_lines", "n_removed")
 
 
 ORACLE_SQL = rf"""

@@ -225,6 +225,25 @@ def score_documents(documents: DataFrame, model: QualityModel, threshold: float
     return documents.select("doc_id", "text").mapInArrow(run, SCORED)
 
 
+def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that ``score_documents`` would keep."""
+    share = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def run(batches):
+        m = share.value
+        for batch in batches:
+            texts = batch.column(at)
+            keep = []
+            for a, b, data, offsets in string_chunks(texts):
+                counts = [count_base(t or "") for t in texts[a:b].to_pylist()]
+                good = m.probability(scores(data, offsets, m)) >= threshold
+                keep += [bool(g) and c[0] >= 10 and 100 * c[4] <= 20 * c[0] for g, c in zip(good, counts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score_documents(documents, fit_on_labels(documents, table(spark, sf_dir, "labels")))
