@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from floppyscope.llm.common import table
-from floppyscope.llm.tokens import PieceEncoder
+from floppyscope.llm.tokens import encoder
 
 SIZE = 1024
 END_ID = 0
@@ -120,11 +120,11 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = END_ID, size: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary)
+        ids_of = encoder(vocabulary)
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for first, ids, counts in encoder.rows(batch.column(1)):
+            for first, ids, counts in ids_of.rows(batch.column(1)):
                 ends = np.cumsum(counts)
                 for k, (b, n) in enumerate(zip(ends.tolist(), counts.tolist())):
                     packer.add(docs[first + k], np.append(ids[b - n : b], np.uint32(end_id)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floppyscope.llm.common import ragged, scratch_path, table
-from floppyscope.llm.tokens import PieceEncoder
+from floppyscope.llm.tokens import encoder
 
 MAGIC = b"FPTOKEN1"
 BLOCK = 128
@@ -144,11 +144,13 @@ def read_index(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return starts, doc_ids, data[cut[1] : cut[0]].astype(bool), ends, ids
 
 
-def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> list[tuple[int, int]]:
+def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, fold: bool = False) -> list[tuple[int, int]]:
     """Writes the ids of all documents into files under ``folder``, in ascending order of
     doc_id over the files (nulls first; equal ids by text). Returns (documents, ids) of each
     file: one pair for each partition, whatever the count of documents.
 
+    ``fold``: the vocabulary lower-cases and drops white space.
+
     A task writes under a name of its attempt and renames at its end, so an attempt that is
     lost or repeated leaves one whole file.
     """
@@ -159,12 +161,12 @@ def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int
         store, root = fs.FileSystem.from_uri(folder)
         name = f"{root}/{context.partitionId():08d}.ids"
         attempt = f"{root}/_{context.partitionId():08d}-{context.taskAttemptId()}"
-        encoder = PieceEncoder(vocabulary)
+        ids_of = encoder(vocabulary, fold)
         with store.open_output_stream(attempt) as out:
             writer = FileWriter(out)
             for batch in batches:
                 docs = batch.column(0).to_pylist()
-                for first, ids, counts in encoder.rows(batch.column(1)):
+                for first, ids, counts in ids_of.rows(batch.column(1)):
                     ends = np.cumsum(counts)
                     writer.add(docs[first : first + len(counts)], np.insert(ids, ends, end_id), counts + 1)
             counted = writer.close()
@@ -217,5 +219,5 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = scratch_path(spark, "token-files")
-    sizes = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    sizes = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), fold=True)
     return read_files(spark, folder, sizes)

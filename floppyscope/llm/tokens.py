@@ -1,35 +1,39 @@
 """Token ids by the tokenizers library, with each distinct piece of text encoded once.
 
-Neither vocabulary lets a token reach from a visible character into white space, so a text
-may be cut before a blank or a line feed that follows a visible character: its ids are the
-ids of the pieces, in order. Pieces repeat (words do), so a worker encodes a piece when it
-first meets it and copies the ids after that. Cuts are made only after characters that are
-white space under no definition.
+Neither vocabulary lets a token reach from a visible character into white space, or from a
+letter into punctuation other than the apostrophe. So a text may be cut before a blank or a
+line feed that follows a visible character, and before such a mark that follows a letter: its
+ids are the ids of the pieces, in order. Pieces repeat (words do), so a worker encodes a piece
+when it first meets it and copies the ids after that. Cuts are made only after characters that
+are white space under no definition. A vocabulary that lower-cases and drops white space
+(``fold``) gives a piece the ids of its lower-cased form without the blank before it.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from floppyscope.llm.common import ragged, span_hashes, string_chunks
+from floppyscope.llm.common import LOWER, byte_table, ragged, span_hashes, string_chunks
 
 #: Distinct pieces that a worker remembers at most; then it starts anew. Bounds memory only.
-MAX_PIECES = 2_000_000
+MAX_PIECES = 4_000_000
 
 
 class PieceEncoder:
     """Encodes columns of text into one array of ids and the count of ids of each row."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, fold: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fold = fold
         self._forget()
 
     def _forget(self) -> None:
@@ -57,6 +61,10 @@ class PieceEncoder:
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = _cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
+        row = np.searchsorted(starts, offsets)
+        if self.fold:
+            data = LOWER[data]
+            starts = starts + ((data[starts] == 0x20) | (data[starts] == 0x0A))
         unique, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) + len(unique) > MAX_PIECES:
             self._forget()
@@ -74,7 +82,6 @@ class PieceEncoder:
         lengths = self.length[slot].astype(np.int64)
         ids = self.ids[ragged(self.start[slot], lengths)].astype(np.uint32)
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        row = np.searchsorted(starts, offsets)
         return ids, sums[row[1:]] - sums[row[:-1]]
 
     def rows(self, column: pa.Array):
@@ -86,13 +93,31 @@ class PieceEncoder:
                 yield a, np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, fold: bool = False) -> PieceEncoder:
+    """The encoder of this worker process, which goes on from task to task."""
+    return PieceEncoder(path, fold)
+
+
+#: ASCII letters, and ASCII punctuation without the apostrophe, and without the bar, which
+#: follows a letter within special tokens.
+_LETTER = byte_table(bytes([*range(65, 91), *range(97, 123)]))
+_MARK = byte_table(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'|"))
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces start: at each row, and before blanks and line feeds after a character that
-    is surely visible: ASCII 0x21 to 0x7E, or a letter of U+00C0 to U+00FF (lead byte 0xC3)."""
+    """Where pieces start: at each row, before blanks and line feeds after a character that is
+    surely visible (ASCII 0x21 to 0x7E, or a letter of U+00C0 to U+00FF, lead byte 0xC3), and
+    before marks after an ASCII letter."""
     blank = (data == 0x20) | (data == 0x0A)
     at = np.flatnonzero(blank[1:]) + 1
     before = data[at - 1]
     sure = (before > 0x20) & (before < 0x7F)
     sure |= (before >= 0x80) & (data[np.maximum(at - 2, 0)] == 0xC3) & (at >= 2)
     # A special token may hold a blank or swallow one beside it; neither vocabulary has such.
-    return np.unique(np.concatenate([offsets[:-1][offsets[:-1] < len(data)], at[sure]]))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at[sure]] = True
+    cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    cut[offsets] = True
+    cut[-1] = False
+    return np.flatnonzero(cut)
