@@ -33,9 +33,9 @@ LOG_BASE = 1.5
 MAX_LEVEL = 108  # that of 2**63
 MU = 300.0
 #: Words whose exact counts are broadcast at most: 16 bytes each.
-MAX_HEAD = 2_000_000
+MAX_HEAD = 3_000_000
 #: N-grams that a task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_000_000
 
 END = np.uint64(0x5BF0A8B1457695A7)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -256,46 +256,34 @@ def score(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in string_chunks(batch.column(2)):
                 stream, bounds = tokens(data, offsets)
-                rows = np.repeat(np.arange(b - a), np.diff(bounds))
+                lengths = np.diff(bounds)
+                rows = np.repeat(np.arange(b - a), lengths)
                 unique, inverse = np.unique(stream, return_inverse=True)
                 counts, held = m.exact(unique)
                 known = held if m.floor > 1 else counts > 0
                 logs = np.where(held | (m.floor == 1), m.base_log(counts), 0.0)
                 sums = [np.bincount(rows, v, b - a) for v in (logs[inverse], known[inverse].astype(float), m.token_logs(stream))]
-                ids = row + np.arange(b - a)
-                yield _scored(ids, batch.column(0)[a:b], batch.column(1)[a:b], np.diff(bounds), sums[1], sums[0], sums[2])
-                rare = np.flatnonzero(~held[inverse]) if m.floor > 1 else ()
-                if len(rare):
-                    pair = np.unique(np.stack([rows[rare], inverse[rare]]), axis=1, return_counts=True)
-                    yield _rare(ids[pair[0][0]], unique[pair[0][1]], pair[1])
+                rare = np.flatnonzero(~held[inverse]) if m.floor > 1 else np.zeros(0, np.int64)
+                slot, times = np.unique(rows[rare] * len(unique) + inverse[rare], return_counts=True)
+                bounds = np.searchsorted(slot // max(1, len(unique)), np.arange(b - a + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v)) for v in (unique[slot % max(1, len(unique))].view(np.int64), times)]
+                columns = [pa.array(row + np.arange(b - a)), batch.column(0)[a:b], batch.column(1)[a:b], pa.array(lengths), pa.array(sums[1].astype(np.int64)), pa.array(sums[0]), pa.array(sums[2]), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
                 row += b - a
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long, times long"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, times array<long>"
     out = documents.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, schema)
     if model.floor > 1:
         out = written(out, "lm-scores")
-        found = out.where("word IS NOT NULL").select("row", "word", F.col("times").alias("n")).join(words, "word", "left")
+        rare = out.select("row", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("r")).select("row", "r.word", "r.n")
+        found = rare.join(words, "word", "left")
         log = F.log10((F.coalesce("times", F.lit(0)) + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
         rest = found.groupBy("row").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("times").isNotNull(), F.col("n"))).alias("more_known"))
-        out = out.where("word IS NULL").join(rest, "row", "left")
+        out = out.drop("words", "times").join(rest, "row", "left")
         out = out.withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0)))
     return out.withColumn("train_tokens", F.lit(model.total).cast("long")).select(*RESULT)
 
 
-_COLUMNS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
-
-
-def _scored(row, doc_id, held_out, n_tokens, n_known, base, scores) -> pa.RecordBatch:
-    n = len(row)
-    return pa.RecordBatch.from_arrays([pa.array(row), doc_id, held_out, pa.array(n_tokens), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(scores), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _COLUMNS)
-
-
-def _rare(row, word, times) -> pa.RecordBatch:
-    n = len(row)
-    none = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-    return pa.RecordBatch.from_arrays([pa.array(row), *none, pa.array(word.view(np.int64)), pa.array(times)], _COLUMNS)
-
-
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score(documents, train(documents.where(~is_held_out())))
