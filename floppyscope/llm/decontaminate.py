@@ -50,8 +50,11 @@ def fingerprints(words: Column) -> Column:
 
 def _prints(words: Column, short: list[int]) -> Column:
     """(n, f) of a text: fingerprints with n = SPAN, and all windows of the short lengths."""
-    kinds = [F.transform(fingerprints(words), lambda f: F.struct(F.lit(SPAN).alias("n"), f.alias("f")))]
-    kinds += [F.transform(F.array_distinct(_grams(words, n)), lambda f, n=n: F.struct(F.lit(n).alias("n"), f.alias("f"))) for n in short]
+
+    def tagged(n: int, hashes: Column) -> Column:
+        return F.transform(hashes, lambda f: F.struct(F.lit(n).alias("n"), f.alias("f")))
+
+    kinds = [tagged(SPAN, fingerprints(words)), *(tagged(n, F.array_distinct(_grams(words, n))) for n in short)]
     return F.concat(*kinds) if short else kinds[0]
 
 
