@@ -19,8 +19,9 @@ from floppyscope.llm.common import row_key, table, written
 SPAN = 10
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
-#: Rows of a side that is broadcast at most; beyond that the join shuffles. A row takes 20 to 100 bytes.
-BROADCAST_ROWS = 400_000
+#: Bytes of a side that is broadcast at most; beyond that the join shuffles. A row without lists takes ROW_BYTES at most.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 80
 
 #: What stands between words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,9 +65,14 @@ def _windows(words: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), window)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it is proved to be small: by its count of rows, or by the
+    sum of ``size``, the bytes of a row, where rows hold lists."""
+    if size is None:
+        fits = df.limit(BROADCAST_BYTES // ROW_BYTES + 1).count() <= BROADCAST_BYTES // ROW_BYTES
+    else:
+        fits = (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floppyscope.llm.common import table, written
-from floppyscope.llm.decontaminate import small
+from floppyscope.llm.decontaminate import ROW_BYTES, let, small
 
 #: Characters from which a line can have a near-duplicate; shorter lines must be equal.
 MIN_CHARS = 20
-SEGMENTS = 16
+SEGMENTS = 32
+#: What is cut off around a line, and what a blank line consists of.
+BLANK = " \t\r"
 
 
 def _segment_keys(line: Column, n: Column, segments: int) -> Column:
@@ -50,7 +52,7 @@ def _segment_keys(line: Column, n: Column, segments: int) -> Column:
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc_id, row, n, line) of every line of ``rows`` that isn't blank; blanks around it are cut off."""
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    return lines.withColumn("line", F.expr(r"trim(BOTH ' \t\r' FROM line)")).where("line <> ''")
+    return lines.withColumn("line", F.btrim("line", F.lit(BLANK))).where("line <> ''")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -62,18 +64,20 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, h2, first) of every distinct line that has an earlier one at one edit's distance,
     and the place ``first`` of the earliest such line."""
     shared = written(_shared(lines.select(F.explode("halves").alias("key"), "h")), "halves")
-    n = F.char_length("line")
-    hashed = _lines(rows).where(n >= MIN_CHARS).select("line", n.alias("chars"), F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.struct("doc_id", "row", "n").alias("place"))
-    halves = hashed.withColumn("key", F.explode(_segment_keys(F.col("line"), F.col("chars"), 2)))
-    some = halves.join(small(shared), "key", "left_semi")
-    # Equal lines meet here before they are shuffled.
-    some = written(some.groupBy("h", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("chars").alias("chars")), "half-shared")
+    place = F.struct("doc_id", "row", "n").alias("place")
+    halves = lines.where(F.size("halves") > 0).select("h", "h2", place, F.explode("halves").alias("key"))
+    # One place of each line that shares a half; its text is read again there, and nowhere else.
+    half = written(halves.join(small(shared), "key", "left_semi").groupBy("h", "h2").agg(F.min("place").alias("place")), "half-shared")
+    wanted = half.groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("h", "h2", "place")).alias("wanted"))
+    cut = lambda x: F.btrim(x, F.lit(BLANK))
+    taken = let(F.split("text", "\n", -1), lambda parts: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["place"].alias("place"), cut(F.get(parts, x["place"]["n"])).alias("line"))))
+    some = rows.join(small(wanted, F.size("wanted") * ROW_BYTES), "row").select(F.inline(taken))
+    some = written(some.withColumn("chars", F.char_length("line")), "half-shared-lines")
     keyed = some.select("h", "h2", F.explode(_segment_keys(F.col("line"), F.col("chars"), SEGMENTS)).alias("key"))
     few = written(keyed.join(_shared(keyed), "key", "left_semi").select("h", "h2").distinct(), "candidates")
     few = some.join(few, ["h", "h2"], "left_semi")
 
-    place = ["h", "h2", "place", "chars"]
-    letters = few.select(*place, F.posexplode(F.split("line", "")).alias("p", "c")).where(F.col("p") < F.col("chars"))
+    letters = few.select("h", "h2", "place", "chars", F.posexplode(F.split("line", "")).alias("p", "c")).where(F.col("p") < F.col("chars"))
     letters = letters.withColumns({"left": F.xxhash64(F.lit(1), "p", "c"), "right": F.xxhash64(F.lit(2), F.col("chars") - F.col("p"), "c")})
     before = Window.partitionBy("h", "h2").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     letters = letters.withColumns({"lefts": F.coalesce(F.bit_xor("left").over(before), F.lit(0)), "rights": F.coalesce(F.bit_xor("right").over(before), F.lit(0))})
@@ -117,13 +121,17 @@ def dedup(documents: DataFrame) -> DataFrame:
     known = written(known.select("h", "h2", F.when(F.col("near"), F.lit(None)).otherwise(F.col("kept")).alias("kept")), "known-lines")
     gone = lines.join(small(known), ["h", "h2"]).where(F.col("kept").isNull() | (F.struct("doc_id", "row", "n") != F.col("kept")))
     gone = written(gone.groupBy("row").agg(F.collect_set("n").alias("gone")), "gone-lines")
-    # A broadcast list holds as many numbers as its documents have lines.
-    out = rows.join(small(gone.select("row", "gone", F.lit(1).alias("some"))), "row", "left")
-    parts = F.split("document.text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    filled = F.size(F.filter(parts, lambda x: F.length(F.translate(x, " \t\r", "")) > 0))
-    counts = [F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long") for n in (filled, F.size("gone"))]
-    return out.select(F.col("document").withField("text", kept).alias("document"), counts[0].alias("n_lines"), counts[1].alias("n_removed"))
+    out = rows.join(small(gone, F.size("gone") * 4 + ROW_BYTES), "row", "left")
+
+    def cut(parts):
+        kept = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+        filled = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+        return F.struct(kept.alias("text"), F.coalesce(filled, F.lit(0)).cast("long").alias("n_lines"))
+
+    out = out.withColumn("cut", F.when(F.col("document.text").isNotNull(), let(F.split("document.text", "\n", -1), cut)))
+    zero = F.lit(0).cast("long")
+    removed = F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(F.col("document").withField("text", F.col("cut.text")).alias("document"), F.coalesce("cut.n_lines", zero).alias("n_lines"), removed.alias("n_removed"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
