@@ -50,15 +50,16 @@ def volumes(images: DataFrame) -> DataFrame:
     order = [c.split()[0] for c in VOLUMES.split(", ")]
     kinds = {"image_id": pa.int64(), "data": pa.binary(), **{c: pa.int32() for c in ints}, **{c: pa.string() for c in texts}}
 
-    def of(image_id: int, format: str, data: bytes, path: str) -> Iterator[dict]:
-        for n, (name, kind, lba, count, v) in enumerate(fatfs.volumes(data), 1):
+    def of(image_id: int, data: bytes, members: list[dict] | None) -> Iterator[dict]:
+        parts = [(m["name"], m["length"]) for m in members or []]
+        for n, (name, kind, lba, count, v) in enumerate(fatfs.volumes(data, parts), 1):
             yield {
                 "image_id": image_id, "volume_id": f"{image_id}/{n}", "n": n, "kind": kind, "name": name, "lba_start": lba, "sector_count": count, "spc": v.layout.spc, "reserved": v.layout.reserved,
                 "fats": v.layout.fats, "root_entries": v.layout.roots, "spf": v.layout.spf, "fat_type": f"FAT{v.width}", "clusters": v.clusters, "free_clusters": v.free_clusters(), "label": v.label(),
                 "dos_version": v.dos_version(), "data": v.data,
             }
 
-    good = images.where("data IS NOT NULL").select("image_id", "format", "data", "path")
+    good = images.where("data IS NOT NULL").select("image_id", "data", "members")
     return _per_row(good, VOLUMES, [(c, kinds[c]) for c in order], of)
 
 
@@ -175,8 +176,8 @@ def listing(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ edits and conversions: a new images row for each
 
-EDITED = "image_id long, path string, format string, prefix binary, data binary, sector_count int, error struct<kind:string,msg:string>"
-_EDITED = [("image_id", pa.int64()), ("path", pa.string()), ("format", pa.string()), ("prefix", pa.binary()), ("data", pa.binary()), ("sector_count", pa.int32()), ("error", pa.struct([("kind", pa.string()), ("msg", pa.string())]))]
+EDITED = "image_id long, path string, format string, prefix binary, data binary, sector_count int, members array<struct<name:string,length:int>>, error struct<kind:string,msg:string>"
+_EDITED = [("image_id", pa.int64()), ("path", pa.string()), ("format", pa.string()), ("prefix", pa.binary()), ("data", pa.binary()), ("sector_count", pa.int32()), ("members", pa.list_(pa.struct([("name", pa.string()), ("length", pa.int32())]))), ("error", pa.struct([("kind", pa.string()), ("msg", pa.string())]))]
 
 
 def apply_edits(images: DataFrame, edits: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def apply_edits(images: DataFrame, edits: DataFrame) -> DataFrame:
     steps = edits.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "op", "path", "target", "content"))).alias("steps"))
 
     def of(image_id, path, format, prefix, data, steps) -> Iterator[dict]:
-        row = {"image_id": image_id, "path": path, "format": format, "prefix": prefix, "data": data, "sector_count": len(data) // 512, "error": None}
+        row = {"image_id": image_id, "path": path, "format": format, "prefix": prefix, "data": data, "sector_count": len(data) // 512, "members": None, "error": None}
         try:
             for s in steps:
                 v = fatfs.Volume(data)

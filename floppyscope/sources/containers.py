@@ -252,26 +252,32 @@ def encode(format: str, sectors: bytes, prefix: bytes = b"") -> bytes:
     raise ValueError(f"{format} can't be written")
 
 
-IMAGES = "image_id long, path string, format string, prefix binary, data binary, sector_count int, error struct<kind:string,msg:string>"
+IMAGES = "image_id long, path string, format string, prefix binary, data binary, sector_count int, members array<struct<name:string,length:int>>, error struct<kind:string,msg:string>"
+_MEMBERS = pa.list_(pa.struct([("name", pa.string()), ("length", pa.int32())]))
 _ERROR = pa.struct([("kind", pa.string()), ("msg", pa.string())])
 
 
 def decode_images(files: DataFrame) -> DataFrame:
     """The image table of ``files`` (path, content): one row per file, an error in place of data
-    where it can't be read. ``image_id`` is a hash of the path."""
+    where it can't be read. ``image_id`` is a hash of the path; ``members`` has the disks of an archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):  # a row at a time: an image may be 32 MB
                 image_id, path, format, content = (batch.column(c)[k].as_py() for c in range(4))
-                prefix = data = error = None
+                prefix = data = members = error = None
                 try:
-                    prefix, data = normalise(format, content or b"")
+                    if format == "Zip":
+                        found = zip_members(content or b"")
+                        members = [{"name": n, "length": len(d)} for n, d in found]
+                        prefix, data = b"", b"".join(d for _, d in found)
+                    else:
+                        prefix, data = normalise(format, content or b"")
                 except (ValueError, IndexError, struct.error, zlib.error) as e:
                     error = {"kind": "UnknownFormat" if format is None else "Malformed", "msg": str(e)}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([image_id]), pa.array([path]), pa.array([format], pa.string()), pa.array([prefix], pa.binary()), pa.array([data], pa.binary()), pa.array([len(data) // SECTOR if data else None], pa.int32()), pa.array([error], _ERROR)],
-                    ["image_id", "path", "format", "prefix", "data", "sector_count", "error"],
+                    [pa.array([image_id]), pa.array([path]), pa.array([format], pa.string()), pa.array([prefix], pa.binary()), pa.array([data], pa.binary()), pa.array([len(data) // SECTOR if data else None], pa.int32()), pa.array([members], _MEMBERS), pa.array([error], _ERROR)],
+                    ["image_id", "path", "format", "prefix", "data", "sector_count", "members", "error"],
                 )
 
     return files.select(F.xxhash64("path").alias("image_id"), "path", format_of("path", "content").alias("format"), "content").mapInArrow(run, IMAGES)
