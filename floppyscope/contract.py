@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floppyscope.functions import binary, content, disk, names
+from floppyscope.functions import binary, charsets, content, disk, names
 from floppyscope.operators import relational as ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -616,3 +616,48 @@ def truncate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geometry_of_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = spark.range(1, 3000, 7).select((F.col("id") * 512).alias("length"))
     return lengths.withColumn("g", disk.geometry(F.col("length"))).select("length", "g.sides", "g.tracks")
+
+
+_FCBS = ["00" + b"HELLO   TXT".hex() + "00" * 10, "08" + b"GAME       ".hex() + "00" * 8, "09" + b"BAD     TXT".hex() + "00" * 10, "00" + b"        TXT".hex() + "00" * 10, "0041"]
+
+
+@query("fcb_parse", "SELECT * FROM (VALUES (0, 0, 'HELLO.TXT'), (1, 8, 'GAME')) t(id, drive, name)")
+def fcb_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hex_rows(spark, _FCBS).withColumn("f", content.fcb_header("data")).where("f IS NOT NULL").select("id", "f.drive", "f.name")
+
+
+@query(
+    "volume_paths",
+    r"""WITH p AS (SELECT page_id, 'P' || (page_id % 5) || '/' || regexp_extract(url, '[^/]*$') AS path FROM pages)
+       SELECT page_id, regexp_extract(path, '^P([0-9]+)/(.*)$', 1)::INT AS n, regexp_extract(path, '^P([0-9]+)/(.*)$', 2) AS rest FROM p WHERE page_id % 5 > 0""",
+)
+def volume_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("P"), (F.col("page_id") % 5).cast("string"), F.lit("/"), F.regexp_extract("url", "[^/]*$", 0))
+    found = table(spark, sf_dir, "pages").select("page_id", content.volume_of_path(path).alias("v"))
+    return found.where("v IS NOT NULL").select("page_id", "v.n", "v.rest")
+
+
+_NAMES = ["80", "41B142", "E986", "C1", "07410A7F"]
+
+
+@query("charset_decode", "SELECT * FROM (VALUES (0, 'Ç', '─'), (1, 'A▒B', 'A╠B'), (2, 'Θå', 'И├'), (3, '┴', 'а'), (4, chr(7) || 'A' || chr(10) || chr(127), chr(7) || 'A' || chr(10) || chr(127))) t(id, international, russian)")
+def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _hex_rows(spark, _NAMES).select("id", charsets.name_of_bytes("data").alias("name"))
+    return rows.select("id", charsets.shown_name("name", "International").alias("international"), charsets.shown_name("name", "Russian").alias("russian"))
+
+
+@query("control_legend", "SELECT * FROM (VALUES (4, 7, 'beep'), (4, 10, 'line feed'), (4, 127, 'delete')) t(id, code, effect)")
+def control_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _hex_rows(spark, _NAMES).select("id", charsets.name_of_bytes("data").alias("name"))
+    return rows.select("id", F.inline(charsets.control_effects("name")))
+
+
+@query(
+    "cursor_moves",
+    """WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i, count(*) OVER () AS n FROM part), s AS (SELECT *, p_partkey::VARCHAR AS path FROM n)
+       SELECT a.path, u.path AS up, d.path AS down, x.path AS page_up, y.path AS page_down, (SELECT path FROM s WHERE i = 1) AS home, (SELECT path FROM s WHERE i = n) AS "end", a.path AS "left"
+       FROM s a JOIN s u ON u.i = greatest(a.i - 1, 1) JOIN s d ON d.i = least(a.i + 1, a.n) JOIN s x ON x.i = greatest(a.i - 20, 1) JOIN s y ON y.i = least(a.i + 20, a.n)""",
+)
+def cursor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"))
+    return ops.navigate(rows, "p_partkey", "path", 20)

@@ -81,3 +81,20 @@ def cas_header(block: Column | str) -> Column:
     text = F.decode(col(block), "ISO-8859-1")
     kind = F.when(text.rlike(r"(?s)^\xD0{10}"), "binary").when(text.rlike(r"(?s)^\xD3{10}"), "basic").when(text.rlike(r"(?s)^\xEA{10}"), "ascii")
     return F.when(kind.isNotNull() & (F.length(col(block)) >= 16), F.struct(kind.alias("kind"), F.regexp_replace(F.substring(text, 11, 6), r"^[\s\x00]+|[\s\x00]+$", "").alias("name")))
+
+
+def fcb_header(data: Column | str) -> Column:
+    """Drive and name of a file control block; null unless the first 20 bytes can be one: drive
+    up to 8, eleven printable name bytes, the first no blank."""
+    name = F.decode(F.substring(col(data), 2, 11), "ISO-8859-1")
+    base, ext = F.rtrim(F.substring(name, 1, 8)), F.rtrim(F.substring(name, 9, 3))
+    whole = F.when(ext == "", base).otherwise(F.concat_ws(".", base, ext))
+    fields = F.struct(byte_at(data, 0).alias("drive"), whole.alias("name"))
+    return F.when((F.length(col(data)) >= 20) & (byte_at(data, 0) <= 8) & name.rlike(r"^[\x20-\x7E]{11}$") & (base != ""), fields)
+
+
+def volume_of_path(path: Column | str, letters: str = "PD") -> Column:
+    """Volume number and rest of a path like P2/DIR/FILE; null where it names none."""
+    pattern = f"^[{letters}{letters.lower()}]([0-9]{{1,9}})(?:/(.*))?$"
+    number = F.regexp_extract(col(path), pattern, 1)
+    return F.when((number != "") & (number.rlike("[1-9]")), F.struct(number.cast("int").alias("n"), F.regexp_extract(col(path), pattern, 2).alias("rest")))

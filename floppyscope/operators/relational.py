@@ -169,3 +169,17 @@ def split_candidates(df: DataFrame, group: str, sizes: list[int], total: Column,
     ok = spread.groupBy(group, "size").agg(F.bool_and(holds).alias("ok"), F.max(total).alias("total")).where(F.col("ok") & (F.col("total") >= 2 * F.col("size")) & (F.col("total") % F.col("size") == 0))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("size")))
     return ok.withColumn("rank", rank).where("rank = 1").select(group, "size", (F.col("total") / F.col("size")).cast("long").alias("slices"))
+
+
+def navigate(rows: DataFrame, order: str, path: str, page: int) -> DataFrame:
+    """For every visible row where the keys lead: up, down, page up and down (clamped to the
+    ends), home, end, and left to the directory above."""
+    n = numbered(rows, [order], "i").select(F.col("i"), F.col(path))
+    ends = n.agg(F.min_by(path, "i").alias("home"), F.max_by(path, "i").alias("end"), F.max("i").alias("last"))
+    moves = {"up": -1, "down": 1, "page_up": -page, "page_down": page}
+    out = n.join(F.broadcast(ends))  # one row
+    for key, step in moves.items():
+        place = F.least(F.greatest(F.col("i") + step, F.lit(1)), F.col("last"))
+        out = out.withColumn("to", place).join(n.select(F.col("i").alias("to"), F.col(path).alias(key)), "to").drop("to")
+    above = F.regexp_replace(F.col(path), "/?[^/]*$", "")
+    return out.select(path, *moves, "home", "end", F.when(above == "", F.col(path)).otherwise(above).alias("left"))

@@ -478,6 +478,25 @@ def with_layout(data: bytes, **fields: int) -> bytes:
     return boot_sector(replace(floppy_layout(data), **fields), data[:SECTOR]) + data[SECTOR:]
 
 
+def install_boot_block(data: bytes, block: bytes, serial: int | None = None) -> bytes:
+    """An image with a boot block that the caller has, its own layout fields and signature kept;
+    ``serial`` goes where later systems look for it."""
+    if len(block) != SECTOR:
+        raise ValueError("a boot block is one sector")
+    out = bytearray(block)
+    out[11:30], out[510:512] = data[11:30], data[510:512]
+    if serial is not None:
+        out[0x27:0x2B] = serial.to_bytes(4, "little")
+    return bytes(out) + data[SECTOR:]
+
+
+def write_sector(data: bytes, lba: int, sector: bytes) -> bytes:
+    """An image with one sector replaced."""
+    if len(sector) != SECTOR or not 0 <= lba < len(data) // SECTOR:
+        raise ValueError("no such sector")
+    return data[: lba * SECTOR] + sector + data[(lba + 1) * SECTOR :]
+
+
 # ------------------------------------------------------------------ several volumes in one image
 
 
