@@ -177,13 +177,13 @@ def media_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tapes.tape_files(tapes.blocks(files)).select("file", "kind", "name", "key", F.length("data").alias("length"))
 
 
-@query("media_archive", _values("idx, path, method, original_size, decodable", [(0, "A.TXT", "-lh0-", 5, True), (1, "B.BIN", "-lh1-", 9, False)]))
+@query("media_archive", _values("idx, path, method, original_size, decodable", [(0, "A.TXT", "-lh0-", 5, True), (1, "B.BIN", "-pm2-", 9, False)]))
 def media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     def member(name: bytes, body: bytes, method: bytes, size: int) -> bytes:
         head = method + len(body).to_bytes(4, "little") + size.to_bytes(4, "little") + bytes(4) + b"\x20\x00" + bytes([len(name)]) + name + bytes(2)
         return bytes([len(head), sum(head) & 255]) + head + body
 
-    data = member(b"A.TXT", b"hello", b"-lh0-", 5) + member(b"B.BIN", b"\1\2", b"-lh1-", 9) + b"\0"
+    data = member(b"A.TXT", b"hello", b"-lh0-", 5) + member(b"B.BIN", b"\1\2", b"-pm2-", 9) + b"\0"
     files = rows_of(spark, "path string, content binary", [("x.lzh", bytearray(data))])
     return lha.member_table(files).select("idx", "path", "method", "original_size", "decodable")
 

@@ -176,9 +176,9 @@ def test_tsx():
 
 
 def test_lha():
-    image = fx.lha(b"A.TXT", b"hello") + fx.lha(b"DIR/B.BIN", b"\1\2", b"-lh1-", 9) + b"\0"
+    image = fx.lha(b"A.TXT", b"hello") + fx.lha(b"DIR/B.BIN", b"\1\2", b"-pm2-", 9) + b"\0"
     found = lha.members(image)
-    assert [(m["path"], m["method"], m["original_size"], m["decodable"]) for m in found] == [("A.TXT", "-lh0-", 5, True), ("DIR/B.BIN", "-lh1-", 9, False)]
+    assert [(m["path"], m["method"], m["original_size"], m["decodable"]) for m in found] == [("A.TXT", "-lh0-", 5, True), ("DIR/B.BIN", "-pm2-", 9, False)]
     assert found[0]["modified"] == "2010-06-15 12:30" and lha.extract(image, 0) == b"hello"
     assert lha.members(b"") == [] and lha.members(b"\0") == []
     with pytest.raises(ValueError):
@@ -222,3 +222,53 @@ def test_lh5_match():
     w.put(0, 4).put(1, 4)  # the only distance class is 1: two back
     w.put(0, 1).put(0b10, 2).put(0b11, 2)
     assert lha.unpack(w.bytes(), 5, 13, 4) == b"ABABA"
+
+
+def test_lh1_round_trip():
+    """An encoder that walks the same adaptive code, over enough symbols to halve the counts."""
+    rnd = random.Random(4)
+    text = bytes(rnd.choice(b"aaaabbcd e") for _ in range(40_000))
+    code, w = lha.AdaptiveCode(314), BitWriter()
+    bits, at = [], 0
+    lengths, high = lha.HIGH, {}
+    value = 0
+    for n in range(1, 9):
+        for k, length in enumerate(lengths):
+            if length == n:
+                high[k] = (value, n)
+                value += 1
+        value <<= 1
+    while at < len(text):
+        back = text.rfind(text[at : at + 5], max(0, at - 4000), at + 4) if at > 5 else -1
+        if back >= 0 and at - back >= 1 and len(text) - at >= 5:
+            bits += code.path(5 + 253)
+            code.used(5 + 253)
+            d = at - back - 1
+            v, n = high[d >> 6]
+            bits += [v >> k & 1 for k in range(n - 1, -1, -1)] + [d >> k & 1 for k in range(5, -1, -1)]
+            at += 5
+        else:
+            bits += code.path(text[at])
+            code.used(text[at])
+            at += 1
+    w.text = "".join(map(str, bits))
+    assert lha.unpack_lh1(w.bytes(), len(text)) == text
+
+
+def test_adaptive_code_halves():
+    a, b = lha.AdaptiveCode(20), random.Random(1)
+    for _ in range(70_000):
+        a.used(b.choice([0, 0, 0, 1, 2, 19]))
+    assert len(a.path(0)) < len(a.path(7)) and sum(2.0 ** -len(a.path(k)) for k in range(20)) == 1.0
+    assert a.count[a.root] <= a.FULL and all(a.count[k] <= a.count[k + 1] for k in range(a.root))
+
+
+def test_plain_windows():
+    # Literals A, B, then three bytes from where A was put.
+    w = BitWriter().put(1, 1).put(65, 8).put(1, 1).put(66, 8).put(0, 1).put(2048 - 17, 11).put(1, 4)
+    assert lha.unpack_lzs(w.bytes(), 5) == b"ABABA"
+    place = 4096 - 18
+    assert lha.unpack_lz5(bytes([0b011, 65, 66, place & 255, place >> 4 & 0xF0 | 0]), 5) == b"ABABA"
+    assert lha.unpack_lz5(bytes([0, 7 * 13 & 255, 0]), 3) == bytes([7] * 3)
+    with pytest.raises(ValueError):
+        lha.unpack_lz5(b"\1A", 5)
