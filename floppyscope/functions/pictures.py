@@ -304,8 +304,15 @@ BY_EXTENSION = {
 }
 
 
+#: Decoders by first bytes, which ``packed_pictures`` adds.
+MAGICS: list[tuple[bytes, tuple]] = []
+
+
 def sniff(data: bytes) -> tuple | None:
-    """The shape format whose length fits its header exactly."""
+    """The format that the first bytes name, or the shape format whose length fits its header exactly."""
+    for magic, found in MAGICS:
+        if data.startswith(magic):
+            return found
     if len(data) < 5:
         return None
     width, height = int.from_bytes(data[:2], "little"), int.from_bytes(data[2:4], "little")
@@ -321,6 +328,8 @@ def sniff(data: bytes) -> tuple | None:
 
 def decode(name: str, data: bytes, more: dict[str, bytes] | None = None) -> np.ndarray | None:
     """The pixels of a picture, or None. ``more``: companion files by extension."""
+    from floppyscope.functions import packed_pictures  # noqa: F401 - adds its decoders
+
     ext = name.rpartition(".")[2].lower() if "." in name else ""
     for found in (BY_EXTENSION.get(ext), sniff(data)):
         if found:

