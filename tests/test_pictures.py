@@ -80,11 +80,18 @@ def test_picture_table(spark):
 @pytest.mark.parametrize(
     ("name", "data", "want"),
     [
-        ("a.mbm", b"\xff" + bytes(206) + b"My song".ljust(40) + b"\0KIT".ljust(12), {"format": "MoonBlaster 1.4", "title": "My song", "edit": True}),
+        ("a.mbm", b"\xff" + bytes(206) + b"My song".ljust(40) + b"\0KIT".ljust(12), {"format": "MoonBlaster 1.4", "title": "My song", "positions": None}),
         ("a.mod", b"Tune".ljust(1080, b"\0") + b"8CHN", {"format": "Amiga module", "title": "Tune", "channels": 8}),
         ("a.mod", b"", {"format": "Amiga module", "title": None, "channels": 4}),
-        ("a.mid", b"MThd\0\0\0\6\0\1\0\2\0\x60MTrk\0\0\0\x0d\0\xff\x03\x04Song\0\xff\x2f\0", {"format": "Standard MIDI", "title": "Song", "tracks": 2}),
+        ("a.mid", b"MThd\0\0\0\6\0\1\0\2\0\x60MTrk\0\0\0\x0d\0\xff\x03\x04Song\0\xff\x2f\0", {"format": "Standard MIDI", "title": "Song", "extra": [("Tracks", "2")]}),
         ("a.pro", b"PT10x", {"format": "Pro-Tracker"}),
+        ("a.mus", bytes(7 + 0x3F00 + 140) + b"\3" + bytes(25) + b"Tune".ljust(41) + b"Me".ljust(40) + b"\1\5", {"format": "FAC SoundTracker PRO", "title": "Tune", "author": "Me", "extra": [("Voices", "6CH MSX-MUSIC + percussion"), ("Tracks", "5")]}),
+        ("a.saa", bytes(10) + b"ETracker (C) BY ESI.", {"format": "E-Tracker compiled", "channels": 6, "extra": [("Player code", "not present")]}),
+        ("a.mwm", b"MBMS\x10\x08" + bytes([9]) + bytes(219) + b"Wave".ljust(50) + b"KIT".ljust(8), {"title": "Wave", "positions": 9, "channels": 24}),
+        ("a.mfm", b"MBMS\x10\x01" + bytes([4]) + bytes(717) + b"FM".ljust(50), {"title": "FM", "positions": 4}),
+        ("a.sbm", b"Blaf NT Song    " + b"Blaf".ljust(67) + b"KIT".ljust(8) + b"BIN" + b"\6", {"title": "Blaf", "positions": 7, "extra": [("Drums", "PSG"), ("Instrument kit", "KIT.BIN")]}),
+        ("a.sng", bytes(1920) + b"\x10", {"format": "SCC-Musixx", "positions": 16}),
+        ("a.pt3", b"ProTracker 3.5".ljust(0x1E) + b"T".ljust(32) + b"    " + b"A".ljust(32) + b"PT3!" + bytes(8) + b"02TS", {"title": "T", "author": "A", "channels": 6}),
     ],
 )
 def test_music(name, data, want):
@@ -157,3 +164,12 @@ def test_publisher():
     image = pictures.decode("a.fnt", head + bytes([255, 0x08]) * 80)
     assert image.shape == (320, 512) and image[0, :9].tolist() == [0 if x in (0, 8) else 0xFFFFFF for x in range(9)]
     assert pictures.decode("a.fnt", data[:0x200]) is None
+
+
+def test_describe_files(spark):
+    from floppyscope.plans.describe import describe_files
+
+    rows = [("A.SC5", bytearray(bsave(bytes(128 * 212)))), ("B.MOD", bytearray(b"Tune".ljust(1080, b"\0") + b"M.K.")), ("C.BIN", bytearray(bytes.fromhex("FE0080028000"  "80C9"))), ("D", bytearray(b"text\n"))]
+    got = {r["name"]: r for r in describe_files(spark.createDataFrame(rows, "name string, content binary")).collect()}
+    assert (got["A.SC5"]["width"], got["A.SC5"]["view"], got["A.SC5"]["description"]) == (256, "screen", "SCREEN 5 picture")
+    assert (got["B.MOD"]["title"], got["B.MOD"]["view"]) == ("Tune", "music") and got["C.BIN"]["header"]["start"] == 0x8000 and got["D"]["view"] == "text"
