@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from floppyscope.llm.common import table
+from floppyscope.llm.common import in_batches, table
 
 #: Lines in a window.
 WINDOW = 3
@@ -224,7 +224,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(page.as_py()) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return in_batches(pages.select("page_id", "url", "html")).mapInArrow(run, SCHEMA)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Word and word-pair counts of the training rows are quantised on a log scale, and each n-gram
 is put into one Bloom filter once for every level up to its own. The filter is broadcast; a
 count is found again by probing level after level until one is missing. Probabilities are
-smoothed with a Dirichlet prior: p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU).
+smoothed with a Dirichlet prior: p(w | v) = (c(v w) + mu p(w)) / (c(v) + noise + mu), where
+noise is what chance hits of the filter are expected to add over all w, so that the
+probabilities after a word add up to one, and mu = MU + 10 noise.
 
 The filter grows with the training text, BITS_PER_BYTE for each of its bytes, up to MAX_BYTES
 (the proven bound of what is broadcast). Past that bound nothing is left out, but probes hit
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import LOWER, SPACE, mix, span_hashes, string_chunks, table, word_spans, written
+from floppyscope.llm.common import LOWER, SPACE, in_batches, mix, span_hashes, string_chunks, table, word_spans, written
 
 #: The filter is cut into segments of 2**SEGMENT_BITS bits; an n-gram's probes stay in one.
 SEGMENT_BITS = 21
-BITS_PER_BYTE = 1.0
+BITS_PER_BYTE = 1.5
 MAX_BYTES = 256 << 20
+PROBES = 6
 #: Levels are log LOG_BASE of the count.
 LOG_BASE = 1.5
 MAX_LEVEL = 108  # that of 2**63
@@ -59,10 +63,14 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return ((grams >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
 
 
-def _places(grams: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    g = mix(grams + np.asarray(level).astype(np.uint64) * _GOLD)
+def _places(grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    """The PROBES places of each n-gram at a level, in its segment."""
+    g = mix(grams ^ mix(np.full(1, level, np.uint64) * _GOLD))
     mask = np.uint64((1 << SEGMENT_BITS) - 1)
-    return tuple((g >> np.uint64(21 * k) & mask).astype(np.int64) for k in range(3))
+    for k in range(PROBES):
+        if k and k % 3 == 0:
+            g = mix(g + _GOLD)
+        yield (g >> np.uint64(21 * (k % 3)) & mask).astype(np.int64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -97,6 +105,12 @@ class LanguageModel:
     distinct: int
     words: DataFrame | None = None  # all exact counts, for those that the head doesn't hold
 
+    @cached_property
+    def noise(self) -> float:
+        """Counts that chance hits add over all words after a given one: each of the distinct
+        words hits with the share of set bits to the power of PROBES."""
+        return self.distinct * (float(np.bitwise_count(self.bits).mean()) / 8) ** PROBES if len(self.bits) else 0.0
+
     def quantised(self, grams: np.ndarray) -> np.ndarray:
         """Counts by repeated membership probes: the level before the first that is missing."""
         levels = np.zeros(len(grams), np.int64)
@@ -134,7 +148,8 @@ class LanguageModel:
         start = self.quantised(np.array([END]))
         context = np.concatenate([start, one[:-1]])
         prior = (one + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        return np.log10((np.minimum(two, context) + MU * prior) / (context + MU))
+        mu = MU + 10 * self.noise
+        return np.log10((two + mu * prior) / (context + self.noise + mu))
 
 
 def _group(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +234,7 @@ def train(rows: DataFrame) -> LanguageModel:
                 n = len(words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), pa.nulls(n, pa.binary()), pa.array(words.view(np.int64)), pa.array(times)], ["segment", "bits", "word", "times"])
 
-    counted = rows.select("text").mapInArrow(count, "segment int, kind int, once binary, many binary, counts binary")
+    counted = in_batches(rows.select("text")).mapInArrow(count, "segment int, kind int, once binary, many binary, counts binary")
     parts = written(counted.repartition("segment").mapInArrow(fill, "segment int, bits binary, word long, times long"), "lm-parts")
     words = parts.where("word IS NOT NULL").select("word", "times")
     by_size = words.groupBy(F.floor(F.log2("times")).alias("size")).agg(F.count("*").alias("words"), F.sum("times").alias("tokens")).collect()  # 64 rows at most
@@ -272,7 +287,7 @@ def score(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 row += b - a
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, times array<long>"
-    out = documents.select("doc_id", is_held_out().alias("held_out"), "text").mapInArrow(run, schema)
+    out = in_batches(documents.select("doc_id", is_held_out().alias("held_out"), "text")).mapInArrow(run, schema)
     if model.floor > 1:
         out = written(out, "lm-scores")
         rare = out.select("row", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n"))).alias("r")).select("row", "r.word", "r.n")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from floppyscope.llm.common import table
+from floppyscope.llm.common import in_batches, table
 from floppyscope.llm.tokens import encoder
 
 SIZE = 1024
@@ -132,7 +132,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = END_ID, size: int
         packer.finish()
         yield _batch(packer.taken())
 
-    return documents.select("doc_id", "text").mapInArrow(run, PACKED)
+    return in_batches(documents.select("doc_id", "text")).mapInArrow(run, PACKED)
 
 
 _NAMES = [c.split()[0] for c in PACKED.split(", ")]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import table, written
+from floppyscope.llm.common import in_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -165,7 +165,7 @@ def candidates(documents: DataFrame) -> DataFrame:
                 ["row", "doc_id", "base", "counts", "spans"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, CANDIDATES)
+    return in_batches(documents.select("doc_id", "text")).mapInArrow(run, CANDIDATES)
 
 
 def reliabilities(patterns: list[tuple[str, int]], rounds: int = 50) -> dict[str, float]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import LOWER, SPACE, mix, span_hashes, string_chunks, table, word_spans
+from floppyscope.llm.common import LOWER, SPACE, in_batches, mix, span_hashes, string_chunks, table, word_spans
 
 #: Symbols that count_base counts.
 SYMBOLS = "#*$%&|<>"
@@ -222,7 +222,7 @@ def score_documents(documents: DataFrame, model: QualityModel, threshold: float
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCORED)
+    return in_batches(documents.select("doc_id", "text")).mapInArrow(run, SCORED)
 
 
 def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
@@ -241,7 +241,7 @@ def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.5)
                 keep += [bool(g) and c[0] >= 10 and 100 * c[4] <= 20 * c[0] for g, c in zip(good, counts)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_batches(documents).mapInArrow(run, documents.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

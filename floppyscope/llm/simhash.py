@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import LOWER, SPACE, string_chunks, table, word_spans, written
+from floppyscope.llm.common import LOWER, SPACE, in_batches, string_chunks, table, word_spans, written
 
 WORDS = 4
 MAX_BITS = 4
@@ -70,7 +70,7 @@ def fingerprint_rows(rows: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, fp long")
+    return in_batches(rows.select("id", "text")).mapInArrow(run, "id long, fp long")
 
 
 def variants(fp: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import ragged, scratch_path, table
+from floppyscope.llm.common import in_batches, ragged, scratch_path, table
 from floppyscope.llm.tokens import encoder
 
 MAGIC = b"FPTOKEN1"
@@ -176,7 +176,7 @@ def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = ordered.mapInArrow(run, "part long, docs long, ids long").collect()  # a row for each file
+    done = in_batches(ordered).mapInArrow(run, "part long, docs long, ids long").collect()  # a row for each file
     sizes = {r["part"]: (r["docs"], r["ids"]) for r in done}
     return [sizes.get(k, (0, 0)) for k in range(max(sizes, default=-1) + 1)]
 
