@@ -661,3 +661,22 @@ def control_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cursor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"))
     return ops.navigate(rows, "p_partkey", "path", 20)
+
+
+@query(
+    "free_host_names",
+    """WITH e AS (SELECT r_name || '.TXT' AS n, r_regionkey AS k FROM region), x AS (SELECT n FROM e WHERE k < 4 UNION SELECT replace(n, '.TXT', ' (2).TXT') FROM e WHERE k IN (1, 2) UNION SELECT replace(n, '.TXT', ' (3).TXT') FROM e WHERE k = 2)
+       SELECT n AS name, CASE k WHEN 4 THEN n WHEN 0 THEN replace(n, '.TXT', ' (2).TXT') WHEN 3 THEN replace(n, '.TXT', ' (2).TXT') WHEN 1 THEN replace(n, '.TXT', ' (3).TXT') ELSE replace(n, '.TXT', ' (4).TXT') END AS target FROM e""",
+)
+def free_host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(".TXT")).alias("name"), "r_regionkey")
+    with_number = lambda k: F.replace("name", F.lit(".TXT"), F.lit(f" ({k}).TXT")).alias("name")
+    there = region.where("r_regionkey < 4").select("name").union(region.where("r_regionkey IN (1, 2)").select(with_number(2))).union(region.where("r_regionkey = 2").select(with_number(3)))
+    return ops.free_names(region.select("name"), there, "name")
+
+
+@query("throttle", "SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 86400000000 AS due FROM events")
+def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    before = F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", (micros - before >= 86_400_000_000).alias("due"))

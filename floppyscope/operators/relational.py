@@ -183,3 +183,20 @@ def navigate(rows: DataFrame, order: str, path: str, page: int) -> DataFrame:
         out = out.withColumn("to", place).join(n.select(F.col("i").alias("to"), F.col(path).alias(key)), "to").drop("to")
     above = F.regexp_replace(F.col(path), "/?[^/]*$", "")
     return out.select(path, *moves, "home", "end", F.when(above == "", F.col(path)).otherwise(above).alias("left"))
+
+
+def free_names(wanted: DataFrame, existing: DataFrame, name: str) -> DataFrame:
+    """(name, target): the name itself where it is free, else with the first free of (2), (3) ...
+    before its extension."""
+    numbered_name = r"^(.*) \(([0-9]{1,9})\)((?:\.[^.]*)?)$"
+    number = F.regexp_extract(name, numbered_name, 2)
+    parts = existing.select(F.concat(F.regexp_extract(name, numbered_name, 1), F.regexp_extract(name, numbered_name, 3)).alias("base"), number.alias("k")).where("k <> ''")
+    taken = parts.groupBy("base").agg(F.collect_set(F.col("k").cast("int")).alias("taken"))
+    there = existing.select(F.col(name).alias("there")).distinct()
+    out = wanted.join(there, F.col(name) == F.col("there"), "left").join(taken, F.col(name) == F.col("base"), "left")
+    used = F.coalesce("taken", F.array().cast("array<int>"))
+    k = F.element_at(F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda i: ~F.array_contains(used, i)), 1)
+    dot = F.regexp_extract(name, r"(\.[^.]*)?$", 0)
+    stem = F.substring(F.col(name), F.lit(1), F.char_length(name) - F.char_length(dot))
+    target = F.when(F.col("there").isNull(), F.col(name)).otherwise(F.concat(stem, F.lit(" ("), k, F.lit(")"), dot))
+    return out.select(name, target.alias("target"))

@@ -85,6 +85,37 @@ def entries(volumes: DataFrame, content: bool = False) -> DataFrame:
     return stamped.drop("date", "time")
 
 
+def root_slots(volumes: DataFrame) -> DataFrame:
+    """(volume_id, slot, name, reason): the live root slots of floppies and why any is no entry.
+    A root whose slots are all rejected holds no file system."""
+    fields = [("volume_id", pa.string()), ("slot", pa.int32()), ("name", pa.string()), ("reason", pa.string())]
+
+    def of(volume_id: str, kind: str, data: bytes) -> Iterator[dict]:
+        v = _volume(kind, data)
+        for k, (_, raw) in enumerate(v._slots(None)):
+            if raw[0] != 0xE5 and raw[11] != 0x0F and not raw[11] & 8:
+                yield {"volume_id": volume_id, "slot": k, "name": fatfs.short_name(raw), "reason": v.reject_reason(raw)}
+
+    return _per_row(volumes.where("kind <> 'partition'").select("volume_id", "kind", "data"), "volume_id string, slot int, name string, reason string", fields, of)
+
+
+def charset_of(files: DataFrame) -> DataFrame:
+    """(volume_id, high, kana, hira, verdict): the character set that a volume's names suggest."""
+    from floppyscope.functions.charsets import bytes_of_name
+    from floppyscope.operators.charsets import detect_by
+
+    return detect_by(files.select("volume_id", bytes_of_name("name").alias("data")), "volume_id", "data")
+
+
+def track_report(sectors: DataFrame) -> DataFrame:
+    """A row per recorded track and side: sectors, size and density of the first, bad ones, and
+    whether it is a standard track."""
+    good = F.col("id_crc_ok") & F.col("data_crc_ok") & F.col("has_data")
+    standard = (F.count("*") == 9) & F.bool_and(good & (F.col("size") == disk.SECTOR) & (F.col("density") == "MFM"))
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    return sectors.groupBy("image_id", "track", "side").agg(F.count("*").alias("sectors"), first("size"), first("density"), F.count_if(~good).alias("bad"), standard.alias("standard"))
+
+
 def table_entries(volumes: DataFrame) -> DataFrame:
     """(volume_id, cluster, entry, kind, next): every entry of the allocation tables, read from
     the volume's bytes by expressions."""

@@ -104,3 +104,31 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["rm", "-r", image, "A"]) == 0 and not list(fatfs.Volume((tmp_path / "x.dsk").read_bytes()).walk())
     (tmp_path / "set.dsk").write_bytes(fx.two_files() * 2)
     assert cli.main(["split", str(tmp_path / "set.dsk")]) == 0 and (tmp_path / "set (Disk 2).dsk").read_bytes() == fx.two_files() and cli.main(["split", str(tmp_path / "set.dsk")]) == 1
+
+
+def test_track_report(spark, folder):
+    report = media.track_report(containers.dmk_table(spark.read.format("binaryFile").load(str(folder / "track.dmk"))))
+    rows = {(r["track"], r["side"]): r for r in report.collect()}
+    assert len(rows) == 160 and not rows[1, 0]["standard"] and rows[1, 0]["bad"] == 1 and rows[2, 1]["standard"] and (rows[0, 0]["size"], rows[0, 0]["density"]) == (512, "MFM")
+
+
+def test_root_slots_and_charset(spark):
+    from floppyscope.media_queries import _volumes
+
+    data = bytearray(fatfs.Volume(fatfs.blank()).add("AAA.TXT", b"x"))
+    at = fatfs.FORMATS["ds720"].root_start * 512
+    data[at + 32 : at + 64] = b"BAD     TXT\x60" + bytes(20)
+    data[at + 64 : at + 96] = b"\xb1\xb2\xb3     TXT\x20" + bytes(20)
+    v = _volumes(spark, {"a.dsk": bytes(data)})
+    assert [(r["slot"], r["reason"]) for r in media.root_slots(v).orderBy("slot").collect()] == [(0, None), (1, "attribute"), (2, None)]
+    assert media.charset_of(media.entries(v)).first()["verdict"] == "Japanese"
+
+
+def test_boot_block_and_sector():
+    data, block = fatfs.blank(), bytes(range(256)) * 2
+    out = fatfs.install_boot_block(data, block, 0x12345678)
+    assert out[11:30] == data[11:30] and out[510:512] == b"\x55\xaa" and out[0x27:0x2B] == bytes.fromhex("78563412") and out[0x40] == 0x40
+    assert fatfs.write_sector(data, 5, b"\1" * 512)[5 * 512] == 1
+    for bad in (lambda: fatfs.install_boot_block(data, b""), lambda: fatfs.write_sector(data, 1440, bytes(512)), lambda: fatfs.write_sector(data, 0, b"")):
+        with pytest.raises(ValueError):
+            bad()

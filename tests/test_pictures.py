@@ -173,3 +173,17 @@ def test_describe_files(spark):
     got = {r["name"]: r for r in describe_files(spark.createDataFrame(rows, "name string, content binary")).collect()}
     assert (got["A.SC5"]["width"], got["A.SC5"]["view"], got["A.SC5"]["description"]) == (256, "screen", "SCREEN 5 picture")
     assert (got["B.MOD"]["title"], got["B.MOD"]["view"]) == ("Tune", "music") and got["C.BIN"]["header"]["start"] == 0x8000 and got["D"]["view"] == "text"
+
+
+def test_raw_views():
+    from floppyscope.functions import bitmap
+
+    white = 0xFFFFFF
+    assert bitmap.render(b"\x80", bitmap.View(width=8, height=2))[:, :2].tolist() == [[white, 0], [0, 0]]
+    tiles = bitmap.render(b"\x80" * 8 + b"\x01" * 8, bitmap.View("tiles8", width=19, height=8))
+    assert tiles.shape == (8, 16) and tiles[0, 0] == white and tiles[7, 15] == white and tiles[0, 8] == 0
+    sprite = bitmap.render(b"\x80" * 16 + b"\x01" * 16, bitmap.View("sprites16", width=16, height=16))
+    assert sprite[3, 0] == white and sprite[3, 15] == white and not sprite[:, 1:15].any()
+    assert bitmap.render(b"\x1b", bitmap.View("2bpp", "four", width=4, height=1))[0].tolist() == list(pictures.FOUR)
+    assert bitmap.render(b"", bitmap.View("yjk", width=5, height=1)).shape == (1, 4) and bitmap.render(b"\xff", bitmap.View("8bpp", "grb332", 1, 2, 1)).tolist() == [[0, 0]]
+    assert bitmap.height_for(bitmap.View(width=8), 3, 100) == 3 and bitmap.height_for(bitmap.View("tiles8", width=16), 17, 100) == 16
