@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floppyscope.functions.names import ancestors, ascii_lower, glob_match
+from floppyscope.operators.lineage import cut
 
 
 def _micros(time: str) -> Column:
@@ -121,9 +122,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows with their number (from 1) in a total order: ranges are sorted in parallel and their
     sizes, one number a range, give each range its start."""
     spark = df.sparkSession
-    # A number of ranges that is asked for is kept, so both runs over them see the same ones.
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("inner"))
+    # Bounds of ranges are drawn anew in every run, so the rows are kept as they were dealt once.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("inner")))
     sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}
     starts, before = [], 0
     for k in sorted(sizes):
