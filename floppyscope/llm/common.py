@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; its 64-bit intermediates are eight times as large.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: The same where distinct pieces are looked up, of which larger runs hold relatively fewer.
+WIDE_BYTES = 1 << 20
 
 _local_scratch: dict[str, str] = {}
 
@@ -128,7 +130,7 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64; kept for runs of usual size only."""
-    size = max(n, CHUNK_BYTES + 1024)
+    size = next((kept for kept in (CHUNK_BYTES + 1024, WIDE_BYTES + 1024) if n <= kept), n)
     if size in _tables:
         return _tables[size]
     made = []
@@ -136,7 +138,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         t = np.full(size, base, np.uint64)
         t[0] = 1
         made.append(np.multiply.accumulate(t))
-    if size <= CHUNK_BYTES + 1024:
+    if size <= WIDE_BYTES + 1024:
         _tables[size] = (made[0], made[1])
     return made[0], made[1]
 

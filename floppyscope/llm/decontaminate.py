@@ -81,7 +81,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null texts have no words; an item without words hits nothing. Items with a null id hit
     words but aren't counted or listed. Repeated rows come out as often as they went in. An
-    empty benchmark hits nothing. ``key`` is row_key of the row.
+    empty benchmark hits nothing. ``key`` is row_key of the row; rows are told apart by id and key.
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0").withColumn("n", F.least(F.lit(SPAN), F.size("w")))
     items = written(items, "items")
@@ -100,20 +100,21 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = items.select("item_id", "n", F.explode(_windows(F.col("w"), F.col("n"))).alias("s"))
     item_windows = item_windows.groupBy("n", "s.h", "s.h2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     item_windows = written(item_windows, "item-windows")
-    near = rows.where("near").select("key").distinct()
-    texts = documents.select(row_key().alias("key"), "text").join(small(near), "key", "left_semi")
+    near = rows.where("near").select(F.struct("doc_id", "key").alias("other")).distinct()
+    texts = documents.select(F.struct("doc_id", row_key().alias("key")).alias("id"), "text")
+    texts = texts.join(small(near), F.col("id").eqNullSafe(F.col("other")), "left_semi")
     lengths = F.explode(F.array(*map(F.lit, [*short, SPAN]))).alias("n")
-    windows = texts.select("key", words_of(F.col("text")).alias("w")).select("key", "w", lengths).where(F.size("w") >= F.col("n"))
-    windows = windows.select("key", "n", F.explode(_windows(F.col("w"), F.col("n"))).alias("s")).select("key", "n", "s.p", "s.h", "s.h2")
-    hits = windows.join(small(item_windows), ["n", "h", "h2"]).groupBy("key").agg(F.collect_set(F.struct("p", "n")).alias("spans"), F.collect_set("items").alias("items"))
+    windows = texts.select("id", words_of(F.col("text")).alias("w")).select("id", "w", lengths).where(F.size("w") >= F.col("n"))
+    windows = windows.select("id", "n", F.explode(_windows(F.col("w"), F.col("n"))).alias("s")).select("id", "n", "s.p", "s.h", "s.h2")
+    hits = windows.join(small(item_windows), ["n", "h", "h2"]).groupBy("id").agg(F.collect_set(F.struct("p", "n")).alias("spans"), F.collect_set("items").alias("items"))
     cover = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("hit"), F.lit(1).alias("next")),
         lambda s, x: F.struct((s["hit"] + x["p"] + x["n"] - F.greatest(x["p"], F.least(s["next"], x["p"] + x["n"]))).alias("hit"), F.greatest(s["next"], x["p"] + x["n"]).alias("next")),
         lambda s: s["hit"].cast("long"),
     )
-    hits = hits.select("key", cover.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    out = rows.join(hits, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    hits = hits.select("id", cover.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    out = rows.join(hits, F.struct("doc_id", "key").eqNullSafe(F.col("id")), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
         "key",
         "doc_id",

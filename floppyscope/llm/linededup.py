@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import table, written
+from floppyscope.llm.common import row_key, table, written
 from floppyscope.llm.decontaminate import ROW_BYTES, let, small
 
 #: Characters from which a line can have a near-duplicate; shorter lines must be equal.
@@ -60,6 +60,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
 
 
+def _on_row(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """A join on the row's id and key; ``other`` has one row for each."""
+    other = other.withColumnsRenamed({"doc_id": "other_id", "row": "other_row"})
+    return rows.join(other, rows["doc_id"].eqNullSafe(other["other_id"]) & (rows["row"] == other["other_row"]), how)
+
+
 def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, h2, first) of every distinct line that has an earlier one at one edit's distance,
     and the place ``first`` of the earliest such line."""
@@ -68,10 +74,11 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     halves = lines.where(F.size("halves") > 0).select("h", "h2", place, F.explode("halves").alias("key"))
     # One place of each line that shares a half; its text is read again there, and nowhere else.
     half = written(halves.join(small(shared), "key", "left_semi").groupBy("h", "h2").agg(F.min("place").alias("place")), "half-shared")
-    wanted = half.groupBy(F.col("place.row").alias("row")).agg(F.collect_list(F.struct("h", "h2", "place")).alias("wanted"))
+    wanted = half.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("h", "h2", "place")).alias("wanted"))
     cut = lambda x: F.btrim(x, F.lit(BLANK))
     taken = let(F.split("text", "\n", -1), lambda parts: F.transform("wanted", lambda x: F.struct(x["h"].alias("h"), x["h2"].alias("h2"), x["place"].alias("place"), cut(F.get(parts, x["place"]["n"])).alias("line"))))
-    some = rows.join(small(wanted, F.size("wanted") * ROW_BYTES), "row").select(F.inline(taken))
+    some = _on_row(rows, small(wanted, F.size("wanted") * ROW_BYTES), "inner").select(F.inline(taken))
+    some = some.dropDuplicates(["h", "h2"])  # repeated rows give their lines repeatedly
     some = written(some.withColumn("chars", F.char_length("line")), "half-shared-lines")
     keyed = some.select("h", "h2", F.explode(_segment_keys(F.col("line"), F.col("chars"), SEGMENTS)).alias("key"))
     few = written(keyed.join(_shared(keyed), "key", "left_semi").select("h", "h2").distinct(), "candidates")
@@ -104,12 +111,13 @@ def dedup(documents: DataFrame) -> DataFrame:
     """(document, n_lines, n_removed) of every row of ``documents``: all its columns as one
     struct, with ``text`` cut down to the lines that stay, and counts of lines (not blank).
 
-    Earlier is by doc_id (null first), then by the row's place in the table, then by the line.
-    A line goes by an earlier one whether or not that one goes itself. Blank lines stay. A null
-    text stays null; no row is dropped.
+    Earlier is by doc_id (null first), then by a hash of the text, then by the line. A line
+    goes by an earlier one whether or not that one goes itself. Blank lines stay. A null text
+    stays null; no row is dropped. Rows that are equal in id and text count as one and come out
+    alike: rows are told apart by content, never by their place, which changes with the cluster.
     """
-    rows = documents.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("row"))
-    texts = rows.select("document.doc_id", "row", "document.text")
+    rows = documents.select(F.struct("*").alias("document"), "doc_id", row_key().alias("row"))
+    texts = rows.select("doc_id", "row", "document.text")
     n = F.char_length("line")
     halves = F.when(n >= MIN_CHARS, _segment_keys(F.col("line"), n, 2)).otherwise(F.array().cast("array<bigint>"))
     lines = written(_lines(texts).select("doc_id", "row", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), halves.alias("halves")), "lines")
@@ -120,8 +128,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     known = many.join(near.select("h", "h2", F.lit(True).alias("near")), ["h", "h2"], "full")
     known = written(known.select("h", "h2", F.when(F.col("near"), F.lit(None)).otherwise(F.col("kept")).alias("kept")), "known-lines")
     gone = lines.join(small(known), ["h", "h2"]).where(F.col("kept").isNull() | (F.struct("doc_id", "row", "n") != F.col("kept")))
-    gone = written(gone.groupBy("row").agg(F.collect_set("n").alias("gone")), "gone-lines")
-    out = rows.join(small(gone, F.size("gone") * 4 + ROW_BYTES), "row", "left")
+    gone = written(gone.groupBy("doc_id", "row").agg(F.collect_set("n").alias("gone")), "gone-lines")
+    out = _on_row(rows, small(gone, F.size("gone") * 4 + ROW_BYTES), "left")
 
     def cut(parts):
         kept = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))

@@ -78,7 +78,7 @@ def _row_means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def scores(data: np.ndarray, offsets: np.ndarray, model: QualityModel, bits: int = BITS) -> np.ndarray:
     """Uncalibrated scores: for each kind of n-gram the mean weight, added up."""
-    out = np.full(len(offsets) - 1, model.intercept)
+    out = np.full(len(offsets) - 1, float(model.intercept))
     for k, (index, bounds) in enumerate(zip(*_grams(data, offsets, bits))):
         out += _row_means(model.weights[k][index], bounds)
     return out

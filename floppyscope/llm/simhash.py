@@ -9,7 +9,7 @@ its pairs. Components grow by alternating stars, with a written table for each r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floppyscope.llm.common import LOWER, SPACE, in_batches, string_chunks, table, word_spans, written
+from floppyscope.llm.decontaminate import small
 
 WORDS = 4
 MAX_BITS = 4
@@ -25,6 +26,10 @@ MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 #: Rows of a bucket up to which all distances are taken in one pass over neighbours.
 SMALL = 48
+#: Rows of a bucket beyond which it is split into blocks, each pair of which is a bucket.
+HOT = 20_000
+#: One in so many fingerprints is counted to find such buckets.
+SAMPLE = 64
 
 
 def _shingle_spans(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +67,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> n
 
 
 def fingerprint_rows(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, fp) of every row of ``rows`` (id, text); a null text has no words."""
+    """(id, fp) of every row of ``rows`` (id of any type, text); a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +75,8 @@ def fingerprint_rows(rows: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return in_batches(rows.select("id", "text")).mapInArrow(run, "id long, fp long")
+    kind = rows.schema["id"].dataType.simpleString()
+    return in_batches(rows.select("id", "text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def variants(fp: np.ndarray) -> np.ndarray:
@@ -192,10 +198,26 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         if rows:
             yield out(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
 
-    keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
+    keyed = _split_hot(distinct.select("fp"), lambda df: df.mapInArrow(spread, "key long, fp long"))
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
 
 
+def _split_hot(fps: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The index of ``fps``, in which a row of a hot bucket goes to every pair of blocks that
+    holds its own. Any two rows of a bucket still meet, so a sample may tell what is hot."""
+    some = spread(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    hot = written(some.where(F.col("n") * SAMPLE > HOT).select("key", F.ceil(F.col("n") * SAMPLE / HOT).cast("int").alias("blocks")), "hot-buckets")
+    keyed = spread(fps)
+    if hot.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+    part = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(pairs)).alias("part")
+    rows = keyed.join(small(hot), "key", "left").select("key", "fp", part)
+    # Two keys that fall together by chance are compared more, and nothing else.
+    return rows.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "fp")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node a of ``edges`` (a > b) that isn't the least of its component, with that least b.
 
@@ -220,7 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(rows: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``rows`` (id, text).
 
-    ``component_id`` is the least id that is reached over links. Rows without words have the
+    Ids can be of any type with an order. ``component_id`` is the least id that is reached over links. Rows without words have the
     fingerprint zero and link like others. A null id gets the least id of its component, or
     null if none has one; repeated rows come out as often as they went in.
     """

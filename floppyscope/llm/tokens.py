@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from floppyscope.llm.common import LOWER, byte_table, ragged, span_hashes, string_chunks
+from floppyscope.llm.common import LOWER, WIDE_BYTES, byte_table, ragged, span_hashes, string_chunks
 
 #: Distinct pieces that a worker remembers at most; then it starts anew. Bounds memory only.
 MAX_PIECES = 2_500_000
@@ -86,7 +86,7 @@ class PieceEncoder:
 
     def rows(self, column: pa.Array):
         """Yields (first row, ids of a run of rows, count of ids of each of them)."""
-        for a, _b, data, offsets in string_chunks(column):
+        for a, _b, data, offsets in string_chunks(column, WIDE_BYTES):
             if len(data):
                 yield a, *self._chunk(data, offsets)
             else:

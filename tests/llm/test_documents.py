@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from floppyscope.llm import lm, pii, quality, simhash, tokenfiles
-from floppyscope.llm.common import mix, scratch_path, string_chunks
+from floppyscope.llm.common import mix, row_key, scratch_path, string_chunks
 from floppyscope.llm.decontaminate import decontaminate
 from floppyscope.llm.linededup import MIN_CHARS, dedup
 from floppyscope.llm.packing import pack
@@ -249,6 +249,25 @@ def test_simhash_links(seed):
     assert canon(label.tolist()) == canon(classes(fps))
 
 
+def test_simhash_splits_hot_buckets(spark, monkeypatch):
+    rnd = random.Random(9)
+    fps = set()
+    while len(fps) < 400:  # a cluster around one fingerprint, and some strangers
+        x = 0x0123456789ABCDEF if len(fps) < 300 else rnd.getrandbits(64)
+        for _ in range(rnd.randrange(4)):
+            x ^= 1 << rnd.randrange(64)
+        fps.add(x - (1 << 64) if x >> 63 else x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = classes([f & (1 << 64) - 1 for f in fps])
+    for hot in (simhash.HOT, 30):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "SAMPLE", 2)
+        root = {r["a"]: r["b"] for r in simhash.components(simhash.links(df)).collect()}
+        got = [root.get(f, f) for f in fps]
+        assert [got.index(x) for x in got] == [want.index(x) for x in want]
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b")
     assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(1, 300)}
@@ -307,11 +326,15 @@ def near_lines(a, b):
 
 
 def dedup_of(rows):
-    """rows: (doc_id, text) in the table's order."""
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
-    first, out = {}, {}
+    """rows: (doc_id, text, key); equal ones come out alike."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][2]))
+    first, out, done = {}, {}, {}
     for k in order:
         text = rows[k][1]
+        if rows[k] in done:
+            out[k] = out[done[rows[k]]]
+            continue
+        done[rows[k]] = k
         if text is None:
             out[k] = (None, 0, 0)
             continue
@@ -345,7 +368,7 @@ LINES = [
 
 def test_line_dedup(spark, odd, empty):
     for df in (spark.createDataFrame(LINES, "doc_id long, text string").coalesce(1), odd.coalesce(1)):
-        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        rows = [tuple(r) for r in df.select("doc_id", "text", row_key()).collect()]
         got = dedup(df).select("document.doc_id", "document.text", "n_lines", "n_removed").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, dedup_of(rows)))
     assert dedup(empty).count() == 0
@@ -367,6 +390,7 @@ def test_line_dedup_random(spark):
             lines.append("".join(s))
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [tuple(r) for r in df.select("doc_id", "text", row_key()).collect()]
     got = dedup(df).select("document.doc_id", "document.text", "n_lines", "n_removed").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, dedup_of(rows)))
 

@@ -23,6 +23,7 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd, folder):
     from floppyscope.llm.simhash import near_duplicates
 
     out = p.near_dedup(spark, odd, folder)
+    assert out.where("doc_id = 2 OR doc_id = 11").count() == 0 and out.where("doc_id = 1 OR doc_id = 4").count() == 2
     groups = near_duplicates(odd.selectExpr("row AS id", "text"), words=p.WORDS).select("component_id").distinct().count()
     assert out.count() == groups
 
