@@ -1,9 +1,11 @@
-"""Command line for single images: ls, add, extract, rm, mv, mkdir, new, convert, split."""
+"""Command line for single images: ls, add, extract, rm, mv, mkdir, new, bootsector, convert, split."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from datetime import datetime
 from pathlib import Path
 
 from floppyscope.sources import containers, fatfs
@@ -52,6 +54,15 @@ def add(args: argparse.Namespace) -> None:
     _edited(args, change)
 
 
+def _modified(e: fatfs.Entry) -> float | None:
+    """The time of an entry in this machine's zone; None up to 1980 and for impossible dates."""
+    try:
+        stamp = datetime(1980 + (e.date >> 9), e.date >> 5 & 15, e.date & 31, e.time >> 11, e.time >> 5 & 63)
+    except ValueError:
+        return None
+    return stamp.timestamp() if stamp.year > 1980 else None
+
+
 def extract(args: argparse.Namespace) -> None:
     _, _, data = _open(args.image)
     for name, _kind, _lba, _count, volume in fatfs.volumes(data):
@@ -60,6 +71,8 @@ def extract(args: argparse.Namespace) -> None:
                 target = Path(args.to, name, *(p.translate(str.maketrans('\\:*?"<>|', "________")) for p in e.path.split("/")))
                 target.parent.mkdir(parents=True, exist_ok=True)
                 target.write_bytes(volume.read(e))
+                if stamp := _modified(e):
+                    os.utime(target, (stamp, stamp))
 
 
 def rm(args: argparse.Namespace) -> None:
@@ -111,6 +124,11 @@ def new(args: argparse.Namespace) -> None:
     Path(args.image).write_bytes(fatfs.blank(args.format))
 
 
+def bootsector(args: argparse.Namespace) -> None:
+    block = Path(args.block).read_bytes()
+    _edited(args, lambda data: fatfs.install_boot_block(data, block, None if args.serial is None else int(args.serial, 16)))
+
+
 def convert(args: argparse.Namespace) -> None:
     _, _, data = _open(args.image)
     _save(args.target, containers.BY_EXTENSION.get(Path(args.target).suffix[1:].lower(), ""), b"", data)
@@ -145,6 +163,7 @@ def main(argv: list[str] | None = None) -> int:
     verb(mv, image, (("source",), {}), (("target",), {}), (("-f", "--force"), flag))
     verb(mkdir, image, (("paths",), {"nargs": "+"}), (("-p", "--parents"), flag))
     verb(new, image, (("--format",), {"choices": sorted(fatfs.FORMATS), "default": "ds720"}))
+    verb(bootsector, image, (("block",), {}), (("--serial",), {}))
     verb(convert, image, (("target",), {}))
     verb(split, image)
     args = parser.parse_args(argv)

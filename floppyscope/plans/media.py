@@ -19,8 +19,17 @@ from floppyscope.sources import containers, fatfs
 
 #: Descriptions of common extensions; unknown ones stay without.
 DESCRIPTIONS = {
-    "bas": "BASIC program", "bin": "Binary program", "com": "MSX-DOS command", "bat": "Batch file", "sys": "System file", "txt": "Text", "doc": "Text", "asm": "Assembler source",
-    "sc5": "SCREEN 5 picture", "sc8": "SCREEN 8 picture", "mbm": "Music", "lzh": "Archive", "pma": "Archive", "dsk": "Disk image",
+    "asc": "BASIC program as text", "asm": "Assembler source", "bas": "BASIC program", "bat": "Batch file", "bin": "Binary program", "c": "C source", "cas": "Cassette image", "cmp": "DD-Graph picture",
+    "com": "MSX-DOS command", "cop": "E-Tracker song", "cpm": "CP/M command", "dat": "Data", "ddi": "Disk image", "di1": "Disk image, first side", "di2": "Disk image, second side", "dmk": "Raw-track disk image",
+    "doc": "Document", "dsk": "Disk image", "etc": "E-Tracker song", "fnt": "Font", "g9b": "GFX9000 picture", "ge5": "SCREEN 5 picture", "ge7": "SCREEN 7 picture", "ge8": "SCREEN 8 picture", "gl5": "SCREEN 5 shape",
+    "gl6": "SCREEN 6 shape", "gl7": "SCREEN 7 shape", "gl8": "SCREEN 8 shape", "glb": "SCREEN 11 shape", "glc": "SCREEN 12 shape", "grp": "SCREEN 2 picture", "h": "C header", "hlp": "Help text", "img": "Disk image",
+    "lha": "LHA archive", "lzh": "LHA archive", "lzs": "LArc archive", "mac": "Macro assembler source", "mag": "Maki-chan picture", "mbk": "MoonBlaster sample kit", "mbm": "MoonBlaster music", "me": "Read-me text",
+    "mfm": "MoonSound FM music", "mid": "MIDI music", "mif": "Interchange picture", "mki": "Maki-chan picture", "mod": "Amiga module", "mus": "FAC SoundTracker music", "mwk": "MoonSound wave kit", "mwm": "MoonSound wave music",
+    "pas": "Pascal source", "pct": "Dynamic Publisher page", "pi": "Yanagisawa picture", "pic": "SCREEN 8 picture", "pl5": "SCREEN 5 palette", "pl6": "SCREEN 6 palette", "pl7": "SCREEN 7 palette", "pma": "PMarc archive",
+    "pro": "Pro-Tracker music", "pt3": "ProTracker 3 music", "rom": "Cartridge image", "s10": "SCREEN 10 picture", "s12": "SCREEN 12 picture", "saa": "E-Tracker song", "sav": "Disk changes", "sbm": "SCC Blaffer music",
+    "sc2": "SCREEN 2 picture", "sc3": "SCREEN 3 picture", "sc4": "SCREEN 4 picture", "sc5": "SCREEN 5 picture", "sc6": "SCREEN 6 picture", "sc7": "SCREEN 7 picture", "sc8": "SCREEN 8 picture", "sca": "SCREEN 10 picture",
+    "scc": "SCREEN 12 picture", "sng": "SCC-Musixx music", "sri": "Interlaced SCREEN 7 picture", "srs": "SCREEN 12 picture", "stp": "Dynamic Publisher stamp", "sys": "System file", "tsx": "Cassette image", "txt": "Text",
+    "xsa": "Packed disk image", "zip": "Zip archive",
 }
 
 VOLUMES = (

@@ -132,3 +132,16 @@ def test_boot_block_and_sector():
     for bad in (lambda: fatfs.install_boot_block(data, b""), lambda: fatfs.write_sector(data, 1440, bytes(512)), lambda: fatfs.write_sector(data, 0, b"")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_command_line_boot_and_times(tmp_path):
+    image, block = tmp_path / "x.dsk", tmp_path / "boot.bin"
+    image.write_bytes(fatfs.Volume(fatfs.blank()).add("A.TXT", b"x", 30 << 9 | 6 << 5 | 15, 12 << 11 | 30 << 5))
+    block.write_bytes(bytes([0xEB, 0xFE, 0x90]).ljust(512, b"\7"))
+    assert cli.main(["bootsector", str(image), str(block), "--serial", "DEADBEEF"]) == 0
+    data = image.read_bytes()
+    assert data[0x27:0x2B] == bytes.fromhex("EFBEADDE") and data[100] == 7 and fatfs.Volume(data).find("A.TXT")
+    assert cli.main(["extract", str(image), "--to", str(tmp_path / "out")]) == 0
+    assert __import__("datetime").datetime.fromtimestamp((tmp_path / "out/A.TXT").stat().st_mtime).strftime("%Y-%m-%d %H:%M") == "2010-06-15 12:30"
+    (tmp_path / "two.dsk").write_bytes(fatfs.blank() * 2)
+    assert cli.main(["mkdir", str(tmp_path / "two.dsk"), "D"]) == 1 and cli.main(["ls", str(tmp_path / "none.dsk")]) == 1
