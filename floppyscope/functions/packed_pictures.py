@@ -1,6 +1,6 @@
-"""Pictures of paint programs that pack their pixels: PI, MAG, G9B, DD-Graph and Dynamic Publisher.
+"""Pictures of paint programs that pack their pixels: PI, MAG, G9B, DD-Graph, Dynamic Publisher, MIF and MIG.
 
-Each decoder gives 0x00RRGGBB pixels or None. MIF, MIG and packed G9B files are not decoded.
+Each decoder gives 0x00RRGGBB pixels or None.
 """
 
 from __future__ import annotations
@@ -26,6 +26,44 @@ class Bits:
         return value
 
 
+class Mixed:
+    """Bits of bytes that are fetched when the last is used up, with whole bytes between them."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.held, self.left = data, at, 0, 0
+
+    def byte(self) -> int:
+        if self.at >= len(self.data):
+            raise ValueError("picture data ends early")
+        self.at += 1
+        return self.data[self.at - 1]
+
+    def bits(self, n: int = 1) -> int:
+        value = 0
+        for _ in range(n):
+            if not self.left:
+                self.held, self.left = self.byte(), 8
+            self.left -= 1
+            value = value << 1 | self.held >> self.left & 1
+        return value
+
+    def distance(self) -> int:
+        """One to 128 in a byte; from 128 on four more bits are the upper part."""
+        low = self.byte()
+        return low + 1 if low < 128 else low + 1 + (self.bits(4) - 1 << 7)
+
+    def skip(self, n: int) -> None:
+        """A mark between blocks: lengths that tell nothing new, then fresh bits."""
+        self.at, self.left = self.at + n, 0
+
+
+def _copy(out: bytearray, distance: int, n: int, most: int) -> None:
+    if not 0 < distance <= len(out) or len(out) + n > most:
+        raise ValueError("picture reference out of range")
+    for _ in range(n):
+        out.append(out[-distance])
+
+
 def three_bits(triples: bytes, order: str) -> np.ndarray:
     """A palette of eight-bit triples with the machine's three bits a component."""
     raw = np.frombuffer(triples, np.uint8).astype(np.int64).reshape(-1, 3) >> 5
@@ -167,13 +205,38 @@ def mag(data: bytes, _mode: int, _more: dict[str, bytes]) -> np.ndarray | None:
 # ------------------------------------------------------------------ G9B
 
 
+def _g9b_bytes(data: bytes, head: int, size: int) -> bytes:
+    """Literals, and copies whose length comes bit by bit, each announced by a one; a length of
+    sixteen bits marks the end of a block."""
+    stream, out = Mixed(data, head + 3), bytearray()
+    while len(out) < size:
+        if not stream.bits():
+            out.append(stream.byte())
+            continue
+        n = 1
+        while n < 1 << 16 and stream.bits():
+            n = n << 1 | stream.bits()
+        if n >= 1 << 16:
+            stream.skip(2)
+        else:
+            _copy(out, stream.distance(), n + 1, size)
+    return bytes(out)
+
+
 def g9b(data: bytes, _mode: int, _more: dict[str, bytes]) -> np.ndarray | None:
-    if data[:5] != b"G9B\x0b\0" or len(data) < 17 or data[12]:
+    if data[:5] != b"G9B\x0b\0" or len(data) < 17 or data[12] > 1:
         return None
     depth, kind, colours = data[5], data[6], data[7]
     width, height = int.from_bytes(data[8:10], "little"), int.from_bytes(data[10:12], "little")
     head, across = 16 + 3 * colours, -(-width * depth // 8)
-    if depth not in (2, 4, 8, 16) or not 0 < width * height <= pictures.MAX_PIXELS or len(data) != head + across * height:
+    if depth not in (2, 4, 8, 16) or not 0 < width * height <= pictures.MAX_PIXELS:
+        return None
+    if data[12]:
+        try:
+            data = data[:head] + _g9b_bytes(data, head, across * height)
+        except ValueError:
+            return None
+    if len(data) != head + across * height:
         return None
     if depth < 8 and colours != 1 << depth or depth == 8 and colours not in (0, 64):
         return None
@@ -267,5 +330,140 @@ def publisher(data: bytes, _mode: int, _more: dict[str, bytes]) -> np.ndarray |
     return np.repeat(np.where(bits, 0, 0xFFFFFF), 2, axis=0)
 
 
-pictures.BY_EXTENSION.update({"pi": (pi, 0), **dict.fromkeys(("mag", "mki", "max"), (mag, 0)), "g9b": (g9b, 0), "cmp": (dd_graph, 0), **dict.fromkeys(("pct", "fnt", "mis"), (publisher, 0))})
+# ------------------------------------------------------------------ MIF
+
+
+def _mif_bytes(data: bytes, at: int, size: int) -> bytes:
+    """Literal bytes, or codes that name an earlier step: its bytes and the one after them. The
+    newest code starts the list anew; the last code and the end of the file have to meet."""
+    stream, out = Mixed(data, at), bytearray()
+    steps: list[int] = []
+    width = 2
+    while len(out) < size:
+        if len(steps) >= 16384 // 3:
+            raise ValueError("too many steps")
+        steps.append(len(out))
+        if len(steps) >> width:
+            width += 1
+        if stream.bits():
+            out.append(stream.bits(8))
+            continue
+        code = stream.bits(width)
+        if code >= len(steps):
+            raise ValueError("no such step")
+        if code == len(steps) - 1:
+            steps, width = [], 2
+            continue
+        first, last = steps[code], steps[code + 1]
+        if len(out) + last - first >= size:
+            raise ValueError("picture reference out of range")
+        for k in range(first, last + 1):
+            out.append(out[k])
+    if stream.bits() or stream.bits(width) <= len(steps) or stream.at != len(data):
+        raise ValueError("picture data doesn't end here")
+    return bytes(out)
+
+
+#: Video mode by the first byte; from 16 on the picture has 424 lines.
+MIF_MODES = {0: 5, 1: 6, 2: 7, 3: 8, 4: 10, 5: 12, 8: 4, 9: 3}
+
+
+def mif(data: bytes, _mode: int, _more: dict[str, bytes]) -> np.ndarray | None:
+    kind, tall = (data[0] & 15, data[0] >> 4 == 1) if data else (0, False)
+    mode = MIF_MODES.get(kind)
+    if len(data) < 35 or data[0] > 0x15 or mode is None or tall and kind > 5:
+        return None
+    lines = 424 if tall else 212
+    size = {4: 14336, 3: 1536}.get(mode) or lines * (128 if mode <= 6 else 256)
+    own = kind not in (3, 5)
+    try:
+        raw = _mif_bytes(data, 34 if own else 2, size)
+    except ValueError:
+        return None
+    colours = pictures.palette(data, 2) if own else pictures.grb332()
+    if mode == 4:
+        return pictures.pattern_screen(bytes(7) + raw, colours)
+    if mode == 3:
+        return pictures.block_screen(bytes(7) + raw, colours, False)
+    image = pictures.bitmap(raw, 0, lines, mode, colours)
+    if mode in (6, 7):
+        return image if tall else np.repeat(image, 2, axis=0)
+    return np.repeat(image, 2, axis=1) if tall else image
+
+
+# ------------------------------------------------------------------ MIG
+
+MIG_MOST = 108_800
+#: Video mode by the mode bits of registers 0, 1 and 25, and by the count of 256-byte rows.
+MIG_MODES = {(0x02, 0, 0, 0x38): 2, (0, 0x08, 0, 0x06): 3, (0x06, 0, 0, 0x6A): 5, (0x08, 0, 0, 0x6A): 6, (0x0A, 0, 0, 0xD4): 7, (0x0E, 0, 0, 0xD4): 8, (0x0E, 0, 0x18, 0xD4): 10, (0x0E, 0, 0x08, 0xD4): 12}
+
+
+def _mig_bytes(data: bytes) -> bytes:
+    stream, out = Mixed(data, 15), bytearray()
+    while len(out) < MIG_MOST:
+        if not stream.bits():
+            out.append(stream.byte())
+            continue
+        distance, n = stream.distance(), 0
+        if distance > len(out):
+            raise ValueError("picture reference out of range")
+        while stream.bits():
+            n += 1
+        length = stream.bits(n)
+        if n < 16:
+            _copy(out, distance, length + (1 << n) + 1, MIG_MOST)
+        else:
+            stream.skip(4)
+            if stream.at >= len(data):
+                return bytes(out)
+    raise ValueError("picture is too long")
+
+
+def mig(data: bytes, _mode: int, _more: dict[str, bytes]) -> np.ndarray | None:
+    """A stream of register writes, colours and one or two fields of a screen."""
+    if len(data) < 16 or data[:6] != b"MSXMIG" or int.from_bytes(data[6:10], "little") != len(data) - 6:
+        return None
+    try:
+        raw = _mig_bytes(data)
+    except ValueError:
+        return None
+    registers, colours, at = [0] * 256, np.zeros(0, np.int64), 0
+    while at + 2 < len(raw):
+        if raw[at] == 0:
+            for k in range(raw[at + 1]):
+                r, value, mask = raw[at + 2 + 3 * k : at + 5 + 3 * k].ljust(3, b"\0")
+                registers[r] = registers[r] & ~mask | value & mask
+            at += 2 + 3 * raw[at + 1]
+        elif raw[at] == 1 and not raw[at + 1]:
+            colours = pictures.palette(raw, at + 3, raw[at + 2])
+            at += 3 + 2 * raw[at + 2]
+        elif raw[at] == 2 and at + 7 < len(raw) and not any(raw[at + 1 : at + 5]) and not raw[at + 6]:
+            return _mig_screen(raw, at + 7, raw[at + 5], registers, colours)
+        else:
+            return None
+    return None
+
+
+def _mig_screen(raw: bytes, at: int, rows: int, registers: list[int], colours: np.ndarray) -> np.ndarray | None:
+    mode = MIG_MODES.get((registers[0] & 0x0E, registers[1] & 0x18, registers[25] & 0x18, rows))
+    fields = {0x00: 1, 0x0C: 2}.get(registers[9] & 0x0C)
+    if mode is None or fields is None or len(raw) != at + fields * 256 * rows + (fields - 1) * 7 + 1:
+        return None
+    if len(colours) < {6: 4, 8: 0, 12: 0}.get(mode, 16) or mode < 5 and fields > 1:
+        return None
+    if mode == 2:
+        return pictures.pattern_screen(raw[at - 7 :], colours)
+    if mode == 3:
+        return pictures.block_screen(raw[at - 7 :], colours, False)
+    colours = pictures.grb332() if mode == 8 else colours
+    if fields == 2 and (raw[at + 256 * rows] != 2 or raw[at + 256 * rows + 5] != rows):
+        return None
+    images = [pictures.bitmap(raw, at + k * (256 * rows + 7), 212, mode, colours) for k in range(fields)]
+    if fields == 2:
+        both = np.stack(images, axis=1).reshape(424, -1)
+        return both if mode in (6, 7) else np.repeat(both, 2, axis=1)
+    return np.repeat(images[0], 2, axis=0) if mode in (6, 7) else images[0]
+
+
+pictures.BY_EXTENSION.update({"pi": (pi, 0), **dict.fromkeys(("mag", "mki", "max"), (mag, 0)), "g9b": (g9b, 0), "cmp": (dd_graph, 0), "mif": (mif, 0), "mig": (mig, 0), **dict.fromkeys(("pct", "fnt", "mis"), (publisher, 0))})
 pictures.MAGICS += [(b"G9B\x0b\0", (g9b, 0)), (b"MAKI02  ", (mag, 0)), (b"Pi", (pi, 0))]

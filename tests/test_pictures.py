@@ -187,3 +187,76 @@ def test_raw_views():
     assert bitmap.render(b"\x1b", bitmap.View("2bpp", "four", width=4, height=1))[0].tolist() == list(pictures.FOUR)
     assert bitmap.render(b"", bitmap.View("yjk", width=5, height=1)).shape == (1, 4) and bitmap.render(b"\xff", bitmap.View("8bpp", "grb332", 1, 2, 1)).tolist() == [[0, 0]]
     assert bitmap.height_for(bitmap.View(width=8), 3, 100) == 3 and bitmap.height_for(bitmap.View("tiles8", width=16), 17, 100) == 16
+
+
+class MixedWriter:
+    """Flag bytes are put where a reader fetches them: before the first bit that they hold."""
+
+    def __init__(self):
+        self.out, self.flag, self.count = bytearray(), -1, 8
+
+    def bit(self, value, n=1):
+        for k in range(n - 1, -1, -1):
+            if self.count == 8:
+                self.flag, self.count = len(self.out), 0
+                self.out.append(0)
+            self.out[self.flag] |= (value >> k & 1) << (7 - self.count)
+            self.count += 1
+        return self
+
+    def byte(self, value):
+        self.out.append(value)
+        return self
+
+
+def test_packed_g9b():
+    head = b"G9B\x0b\0" + bytes([8, 0x40, 0, 8, 0, 1, 0, 1, 0, 0, 0])
+    w = MixedWriter().bit(0).byte(0xFF).bit(1).bit(1).bit(1).bit(1).bit(0).bit(0)  # a length of 1, 3, 6 and one more
+    w.byte(0)
+    image = pictures.decode("a.g9b", head + bytes(3) + bytes(w.out))
+    assert image.shape == (1, 8) and (image == 0xFFFFFF).all()
+    assert pictures.decode("a.g9b", head + bytes(3)) is None
+
+
+def test_mif():
+    # 1536 bytes of blocks: literals alone, every one of which is a step; a step's number has more and more bits.
+    w = BitWriter()
+    body = bytes([0xF1]) * 1536
+    for b in body:
+        w.put(1).put(b, 8)
+    width = 2
+    while 1536 >> width:
+        width += 1
+    w.put(0).put((1 << width) - 1, width)
+    while len(w.text) % 8:
+        w.put(0)
+    colours = pictures.DEFAULT
+    image = pictures.decode("a.mif", b"\x09\0" + colours + w.bytes())
+    assert image.shape == (192, 256) and image[0, [0, 4]].tolist() == [0xFFFFFF, 0]
+    assert pictures.decode("a.mif", b"\x09\0" + colours + w.bytes() + b"x") is None
+
+
+def test_mig():
+    chunks = bytes([0, 2, 0, 0x0E, 0x0E, 9, 0, 0x0C]) + bytes([2, 0, 0, 0, 0, 0xD4, 0])
+    w = MixedWriter()
+    for b in chunks + b"\xff":
+        w.bit(0).byte(b)
+    left = 0xD4 * 256 - 1
+    while left:
+        n = min(left, 2 + (1 << 15) - 1) if left > 1 else 1
+        bits = max(0, (n - 1).bit_length() - 1)
+        w.bit(1).byte(0)
+        for _ in range(bits):
+            w.bit(1)
+        w.bit(0).bit(n - 1 - (1 << bits), bits)
+        left -= n
+    w.bit(0).byte(3)  # the closing byte
+    w.bit(1).byte(0)
+    for _ in range(16):
+        w.bit(1)
+    w.bit(0).bit(0, 16)
+    body = bytes(5) + bytes(w.out) + bytes(4)
+    data = b"MSXMIG" + (len(body) + 4).to_bytes(4, "little") + body
+    image = pictures.decode("a.mig", data)
+    assert image is not None and image.shape == (212, 256) and (image == 0xFFFFFF).all()
+    assert pictures.decode("a.mig", data[:-1]) is None
