@@ -3,11 +3,14 @@ SQL states the rows that the images were made to give."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floppyscope.contract import query, rows_of
-from floppyscope.functions import basic, disasm
+from floppyscope.functions import basic, disasm, music, pictures
 from floppyscope.operators import hexrows
 from floppyscope.plans import media
 from floppyscope.sources import containers, fatfs, lha, tapes, xsa
@@ -225,3 +228,82 @@ def media_disasm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def media_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = rows_of(spark, "name string, data binary", [("x", bytearray(b"ABC\0\xff"))])
     return hexrows.hex_rows(files, "name", "data", 4).select("address", "bytes", "shown")
+
+
+def _dump(body: bytes) -> bytes:
+    """A memory dump from address 0 with its header."""
+    return b"\xfe\0\0" + (len(body) - 1).to_bytes(2, "little") + b"\0\0" + body
+
+
+@query("media_pictures", _values("name, width, height, first, last", [("a.sc5", 256, 212, "000000FF", "FFFFFFFF"), ("b.sc7", 512, 424, "FFFFFFFF", "000000FF"), ("c.sc8", 256, 212, "FF0000FF", "FF0000FF"), ("d.gl5", 256, 2, "FFFFFFFF", "000000FF"), ("e.sc5", None, None, None, None)]))
+def media_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {"a.sc5": _dump(b"\x0f" * (128 * 212)), "b.sc7": _dump(b"\xf0" * (256 * 212)), "c.sc8": _dump(b"\x1c" * (256 * 212)), "d.gl5": b"\0\1\2\0" + b"\xf0" * 256, "e.sc5": b"no picture"}
+    rows = rows_of(spark, "name string, content binary, companions map<string,binary>", [(n, bytearray(c), None) for n, c in files.items()])
+    found = pictures.picture_table(rows)
+    return found.select("name", "width", "height", F.hex(F.substring("rgba", 1, 4)).alias("first"), F.hex(F.substring(F.col("rgba"), F.length("rgba") - 3, F.lit(4))).alias("last"))
+
+
+@query("media_music", _values("name, format, title, channels", [("a.mod", "Amiga module", "Tune", 8), ("b.mid", "Standard MIDI", "Song", None), ("c.saa", "E-Tracker compiled", None, 6)]))
+def media_music(spark: SparkSession, sf_dir: str) -> DataFrame:
+    song = b"MThd\0\0\0\6\0\1\0\2\0\x60MTrk\0\0\0\x0d\0\xff\x03\x04Song\0\xff\x2f\0"
+    files = {"a.mod": b"Tune".ljust(1080, b"\0") + b"8CHN", "b.mid": song, "c.saa": bytes(10) + b"ETracker (C) BY ESI.", "d.mid": b"no song"}
+    rows = rows_of(spark, "name string, content binary", [(n, bytearray(c)) for n, c in files.items()])
+    return music.music_table(rows).select("name", "format", "title", "channels")
+
+
+@query("media_zip", _values("n, kind, name, lba_start, sector_count, files", [(1, "zip", "one.dsk", 0, 1440, 4), (2, "zip", "two.xsa", 1440, 720, 0)]))
+def media_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "disks")
+        z.writestr("set/one.dsk", _disk())
+        z.writestr("two.xsa", xsa.compress(fatfs.blank("ss360")))
+    v = _volumes(spark, {"set.zip": out.getvalue()})
+    files = media.entries(v).where("NOT is_dir").groupBy("volume_id").agg(F.count("*").alias("files"))
+    return v.join(files, "volume_id", "left").select("n", "kind", "name", "lba_start", "sector_count", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+@query("media_partitions", _values("name, lba_start, sector_count, clusters", [("P1", 1, 400, 194), ("P2", 401, 500, 244)]))
+def media_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = bytearray(901 * 512)
+    for k, (lba, n) in enumerate([(401, 500), (1, 400)]):
+        at = 0x1BE + 16 * k
+        data[at + 4] = 1
+        data[at + 8 : at + 16] = lba.to_bytes(4, "little") + n.to_bytes(4, "little")
+        data[lba * 512 : lba * 512 + 512] = fatfs.boot_sector(fatfs.Layout(2, 1, 2, 112, n, 0xF0, 2, 9, 2))
+    data[510:512] = b"\x55\xaa"
+    return _volumes(spark, {"hd.dsk": bytes(data)}).select("name", "lba_start", "sector_count", "clusters")
+
+
+@query("media_journal", _values("lba, first", [(0, 235), (5, 51), (9, 34)]))
+def media_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = b"".join(k.to_bytes(4, "little") + bytes([v]) * 512 for k, v in ((5, 0x11), (9, 0x22), (5, 0x33)))
+    rows = media.sectors(_images(spark, {"x.sav": records}))
+    first = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int")
+    return rows.select("lba", first.alias("first")).where("first <> 0")
+
+
+@query("media_listing", _values("line", [("----a     5000 2010-06-15 12:30 BIG.BIN",), ("d----    <DIR>                  SUB",), ("  ----a        5                  HI.TXT",), ("----a       20                  A.TXT",), ("----a        7                  NOEXT",)]))
+def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.listing(media.entries(_volumes(spark, {"a.dsk": _disk()}))).select("line")
+
+
+@query("media_archive_content", _values("path, text", [("A.TXT", "hello"), ("B.TXT", "ABABA")]))
+def media_archive_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def member(name: bytes, body: bytes, method: bytes, size: int) -> bytes:
+        head = method + len(body).to_bytes(4, "little") + size.to_bytes(4, "little") + bytes(4) + b"\x20\x00" + bytes([len(name)]) + name + bytes(2)
+        return bytes([len(head), sum(head) & 255]) + head + body
+
+    place = 4096 - 18
+    data = member(b"A.TXT", b"hello", b"-lh0-", 5) + member(b"B.TXT", bytes([3, 65, 66, place & 255, place >> 4 & 0xF0]), b"-lz5-", 5) + b"\0"
+    files = rows_of(spark, "path string, content binary", [("x.lzh", bytearray(data))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(1).to_pylist():
+                found = [m for m in lha.members(content) if m["decodable"]]
+                yield pa.RecordBatch.from_pydict({"path": [m["path"] for m in found], "text": [lha.extract(content, m["idx"]).decode("latin-1") for m in found]})
+
+    return files.mapInArrow(run, "path string, text string")
