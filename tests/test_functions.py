@@ -132,3 +132,32 @@ def test_disassembly_listing():
     assert disasm.locate("GAME.COM", b"\xc9") == (0x100, None, b"\xc9") and disasm.locate("A.BIN", bytes.fromhex("FE008002800080C9")) == (0x8000, 0x8000, b"\xc9")
     assert [a for a, _, _ in disasm.rows(b"\0\0\0", 0xFFFF)] == [0xFFFF, 0, 1]
     assert all(disasm.decode(bytes([a, b, 1, 2]))[0] for a in range(256) for b in range(256))
+
+
+def test_charsets(spark):
+    from floppyscope.functions import charsets
+
+    name = charsets.name_of_bytes(lit(bytes([0x41, 0x80, 0xB1, 0xC1, 0xFF])))
+    assert one(spark, name) == "A" and one(spark, charsets.bytes_of_name(name)) == bytes([0x41, 0x80, 0xB1, 0xC1, 0xFF])
+    assert one(spark, charsets.shown_name(name, "International"))[:2] == "AÇ" and one(spark, charsets.shown_name(name, "Japanese"))[2] == "ｱ" and one(spark, charsets.shown_name(name, "Russian"))[3] == "а"
+    assert one(spark, charsets.shown_name(name, "Russian"))[-1] == "█" and one(spark, charsets.bytes_of_name(F.lit("é"))) is None
+    assert one(spark, charsets.typed_key(F.lit("dir/çÇx"), "International")) == "DIR/X" and one(spark, charsets.typed_key(F.lit("東"), "International")) is None
+    assert one(spark, charsets.text_of(lit(bytes([0xE9, 0xCC])), "Japanese")) == "のﾌ" and all(len(charsets.high_half(c)) == 128 for c in charsets.SETS)
+    assert [tuple(r) for r in one(spark, charsets.control_effects(F.lit("a\x07\x01\x07")))] == [(1, None), (7, "beep")]
+    with pytest.raises(ValueError):
+        charsets.high_half("short")
+
+
+def test_file_control_block(spark):
+    ok = lit(b"\0HELLO   TXT" + bytes(10))
+    assert one(spark, content.fcb_header(ok))["name"] == "HELLO.TXT" and one(spark, content.fcb_header(lit(b"\x09HELLO   TXT" + bytes(10)))) is None
+    assert [one(spark, content.volume_of_path(F.lit(p))) for p in ("P0/A", "X1/A", "D")] == [None] * 3 and one(spark, content.volume_of_path(F.lit("d2")))["n"] == 2
+
+
+def test_hex_rows(spark):
+    from floppyscope.operators.hexrows import hex_rows
+
+    data = spark.createDataFrame([(1, bytearray(b"ABC\x00\x11\x22\x33\x44"))], "id int, data binary")
+    rows = hex_rows(data, "id", "data", 8, base=0x100, group=2).collect()
+    assert [(r["address"], r["bytes"], r["shown"]) for r in rows] == [("000100", "4142 4300 1122 3344", 'ABC.."3D')]
+    assert hex_rows(data, "id", "data", 3, decimal=True).orderBy("offset").collect()[-1]["address"] == "000006"
