@@ -25,6 +25,8 @@ from floppyscope.llm.decontaminate import ROW_BYTES, let, small
 #: Characters from which a line can have a near-duplicate; shorter lines must be equal.
 MIN_CHARS = 20
 SEGMENTS = 32
+#: Letters of a line that are put in order together.
+PART = 512
 #: What is cut off around a line, and what a blank line consists of.
 BLANK = " \t\r"
 
@@ -66,6 +68,39 @@ def _on_row(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return rows.join(other, rows["doc_id"].eqNullSafe(other["other_id"]) & (rows["row"] == other["other_row"]), how)
 
 
+def _left(p: Column, letter: Column) -> Column:
+    """Hash of a letter at a place counted from the left."""
+    return F.xxhash64(F.lit(1), p.cast("int"), letter)
+
+
+def _right(p: Column, letter: Column, chars: Column) -> Column:
+    """Hash of a letter at the same place counted from the right."""
+    return F.xxhash64(F.lit(2), (chars - p).cast("int"), letter)
+
+
+def _parts(letters: Column, chars: Column) -> Column:
+    """A line in parts of PART letters, each with the exclusive or of all that precede it, and
+    those of the whole line: so a long line is worked on in many places."""
+    zero = F.lit(0).cast("bigint")
+
+    def total(k: Column) -> Column:
+        places = F.sequence(k * PART, F.least((k + 1) * PART, chars) - 1)
+
+        def add(s: Column, p: Column) -> Column:
+            c = F.get(letters, p)
+            return F.struct(s["l"].bitwiseXOR(_left(p, c)).alias("l"), s["r"].bitwiseXOR(_right(p, c, chars)).alias("r"))
+
+        return F.aggregate(places, F.struct(zero.alias("l"), zero.alias("r")), add)
+
+    def gather(s: Column, k: Column) -> Column:
+        here = F.struct(k.alias("k"), s["left"].alias("lefts"), s["right"].alias("rights"), F.slice(letters, k * PART + 1, F.least(F.lit(PART), chars - k * PART)).alias("letters"))
+        return let(total(k), lambda t: F.struct(s["left"].bitwiseXOR(t["l"]).alias("left"), s["right"].bitwiseXOR(t["r"]).alias("right"), F.concat(s["parts"], F.array(here)).alias("parts")))
+
+    none = F.array().cast("array<struct<k:int,lefts:bigint,rights:bigint,letters:array<string>>>")
+    numbers = F.sequence(F.lit(0), F.ceil(chars / PART).cast("int") - 1)
+    return F.aggregate(numbers, F.struct(zero.alias("left"), zero.alias("right"), none.alias("parts")), gather)
+
+
 def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(h, h2, first) of every distinct line that has an earlier one at one edit's distance,
     and the place ``first`` of the earliest such line."""
@@ -84,18 +119,19 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     few = written(keyed.join(_shared(keyed), "key", "left_semi").select("h", "h2").distinct(), "candidates")
     few = some.join(few, ["h", "h2"], "left_semi")
 
-    letters = few.select("h", "h2", "place", "chars", F.posexplode(F.split("line", "")).alias("p", "c")).where(F.col("p") < F.col("chars"))
-    letters = letters.withColumns({"left": F.xxhash64(F.lit(1), "p", "c"), "right": F.xxhash64(F.lit(2), F.col("chars") - F.col("p"), "c")})
-    before = Window.partitionBy("h", "h2").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    letters = letters.withColumns({"lefts": F.coalesce(F.bit_xor("left").over(before), F.lit(0)), "rights": F.coalesce(F.bit_xor("right").over(before), F.lit(0))})
-    whole = Window.partitionBy("h", "h2")
-    letters = letters.withColumn("rest", F.bit_xor("right").over(whole).bitwiseXOR(F.col("rights")))
+    parts = few.select("h", "h2", "place", "chars", let(F.split("line", ""), lambda c: _parts(c, F.col("chars"))).alias("t"))
+    spread = parts.select("h", "h2", "place", "chars", "t.left", "t.right", F.inline("t.parts"))
+    letters = spread.select("h", "h2", "place", "chars", "k", "lefts", "rights", "right", F.posexplode("letters").alias("q", "c")).withColumn("p", F.col("k") * PART + F.col("q"))
+    letters = letters.withColumns({"own_left": _left(F.col("p"), F.col("c")), "own_right": _right(F.col("p"), F.col("c"), F.col("chars"))})
+    before = Window.partitionBy("h", "h2", "k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.bit_xor(c).over(before), F.lit(0))
+    letters = letters.select("h", "h2", "place", "chars", "p", "own_right", F.col("lefts").bitwiseXOR(upto("own_left")).alias("lefts"), F.col("right").bitwiseXOR(F.col("rights")).bitwiseXOR(upto("own_right")).alias("rest"))
     # "rest" covers the letters from p on, counted from the right.
-    longer = F.struct((F.col("chars") - 1).alias("m"), F.col("lefts").bitwiseXOR(F.col("rest").bitwiseXOR(F.col("right"))).alias("v"), F.lit(True).alias("cut"))
+    longer = F.struct((F.col("chars") - 1).alias("m"), F.col("lefts").bitwiseXOR(F.col("rest").bitwiseXOR(F.col("own_right"))).alias("v"), F.lit(True).alias("cut"))
     itself = F.struct(F.col("chars").alias("m"), F.col("lefts").bitwiseXOR(F.col("rest")).alias("v"), F.lit(False).alias("cut"))
     variants = letters.select("h", "h2", "place", "p", F.explode(F.array(longer, itself)).alias("s")).select("h", "h2", "place", "p", "s.m", "s.v", "s.cut")
     # A line ends after its last letter, too: there a longer line may have one more.
-    ends = letters.groupBy("h", "h2", "place", "chars").agg(F.bit_xor("left").alias("v")).select("h", "h2", "place", F.col("chars").alias("p"), F.col("chars").alias("m"), "v", F.lit(False).alias("cut"))
+    ends = parts.select("h", "h2", "place", F.col("chars").alias("p"), F.col("chars").alias("m"), F.col("t.left").alias("v"), F.lit(False).alias("cut"))
     variants = written(variants.unionByName(ends), "variants")
     first = variants.groupBy("p", "m", "v").agg(F.min(F.when(F.col("cut"), F.col("place"))).alias("cut_first"), F.min("place").alias("any_first"), F.min("h").alias("a"), F.max("h").alias("b"))
     met = variants.join(first.where("a <> b"), ["p", "m", "v"])

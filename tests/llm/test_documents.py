@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from floppyscope.llm import lm, pii, quality, simhash, tokenfiles
+from floppyscope.llm import linededup, lm, pii, quality, simhash, tokenfiles
 from floppyscope.llm.common import mix, row_key, scratch_path, string_chunks
 from floppyscope.llm.decontaminate import decontaminate
 from floppyscope.llm.linededup import MIN_CHARS, dedup
@@ -375,7 +375,8 @@ def test_line_dedup(spark, odd, empty):
     assert dedup(odd).select("document.*").columns == odd.columns
 
 
-def test_line_dedup_random(spark):
+def test_line_dedup_random(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PART", 7)  # lines in several parts
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(19, 27))).strip() + "q" for _ in range(25)]
     rows = []
