@@ -63,14 +63,16 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
     return ((grams >> np.uint64(33)) % np.uint64(segments)).astype(np.int64)
 
 
-def _places(grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
-    """The PROBES places of each n-gram at a level, in its segment."""
-    g = mix(grams ^ mix(np.full(1, level, np.uint64) * _GOLD))
-    mask = np.uint64((1 << SEGMENT_BITS) - 1)
-    for k in range(PROBES):
-        if k and k % 3 == 0:
-            g = mix(g + _GOLD)
-        yield (g >> np.uint64(21 * (k % 3)) & mask).astype(np.int64)
+def _hash(grams: np.ndarray, level: int) -> np.ndarray:
+    """The hash of each n-gram at a level, from which its first places are taken."""
+    return mix(grams ^ mix(np.full(1, level, np.uint64) * _GOLD))
+
+
+def _place(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash for the k-th place and those to come, and the k-th place in the segment."""
+    if k and k % 3 == 0:
+        g = mix(g + _GOLD)
+    return g, (g >> np.uint64(SEGMENT_BITS * (k % 3)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -87,7 +89,9 @@ def fill_segment(grams: np.ndarray, counts: np.ndarray) -> bytes:
     bits = np.zeros(1 << SEGMENT_BITS, bool)
     levels = level_of(counts)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(grams[levels >= j], j):
+        g = _hash(grams[levels >= j], j)
+        for k in range(PROBES):
+            g, place = _place(g, k)
             bits[place] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -118,11 +122,13 @@ class LanguageModel:
         base = segment_of(grams, segments) << SEGMENT_BITS
         active = np.arange(len(grams))
         for j in range(1, MAX_LEVEL + 1):
-            hit = np.ones(len(active), bool)
-            for place in _places(grams[active], j):
+            # Each probe is made for those only that passed the ones before it.
+            g = _hash(grams[active], j)
+            for k in range(PROBES):
+                g, place = _place(g, k)
                 at = base[active] + place
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            active = active[hit]
+                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                active, g = active[hit], g[hit]
             if not len(active):
                 break
             levels[active] = j
