@@ -93,38 +93,36 @@ def fit(texts: list[str], good: list[int], bits: int = BITS, rounds: int = 40, l
         logit = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return QualityModel(np.zeros((4, 1 << bits), np.float32), 0.0, 1.0, logit)
     held = np.arange(len(y)) % 5 == 4
-    rows_i, cols_i, vals = [], [], []
-    column = pa.array(texts, pa.large_string())
-    for a, _b, data, offsets in string_chunks(column):
+    size = 1 << bits
+    parts = []  # (first row, end row, kind, row, n-gram, times, n-grams of each row) of a run of rows: eight bytes an entry
+    for a, b, data, offsets in string_chunks(pa.array(texts, pa.large_string())):
         for k, (index, bounds) in enumerate(zip(*_grams(data, offsets, bits))):
             counts = np.diff(bounds)
             row = np.repeat(np.arange(len(counts)), counts)
-            code, times = np.unique(row.astype(np.int64) << 32 | (index + (k << bits)), return_counts=True)
-            row = code >> 32
-            rows_i.append((row + a).astype(np.int32))
-            cols_i.append((code & 0xFFFFFFFF).astype(np.int32))
-            vals.append((times / np.maximum(1, counts)[row]).astype(np.float32))
-    rows_, cols, x = np.concatenate(rows_i), np.concatenate(cols_i), np.concatenate(vals)
-    used = np.flatnonzero(np.bincount(cols, minlength=4 << bits))
-    place = np.zeros(4 << bits, np.int32)
-    place[used] = np.arange(len(used))
-    cols = place[cols]
-    fit_x = np.where(held[rows_], np.float32(0), x)
+            code, times = np.unique(row.astype(np.int64) << 32 | index, return_counts=True)
+            few = np.uint16 if b - a <= 1 << 16 and times.max(initial=0) < 1 << 16 else np.uint32
+            parts.append((a, b, k, (code >> 32).astype(few), (code & 0xFFFFFFFF).astype(np.int32), times.astype(few), np.maximum(1, counts)))
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
-    w, b, gw, gb = np.zeros(len(used)), 0.0, np.full(len(used), 1e-12), 1e-12
+    w, intercept, gw, gb = np.zeros((4, size)), 0.0, np.full((4, size), 1e-12), 1e-12
+
+    def scored() -> np.ndarray:
+        s = np.full(len(y), intercept)
+        for a, b, k, row, gram, times, counts in parts:
+            s[a:b] += np.bincount(row, times * w[k][gram], b - a) / counts
+        return s
+
     for _ in range(rounds):
-        s = np.bincount(rows_, x * w[cols], len(y)) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y)
-        g = np.bincount(cols, fit_x * error[rows_], len(used)) + l2 * w
+        error = weight * (1 / (1 + np.exp(-np.clip(scored(), -500, 500))) - y)
+        g = l2 * w
+        for a, b, k, row, gram, times, counts in parts:
+            g[k] += np.bincount(gram, times * (error[a:b] / counts)[row], size)
         gw += g * g
         gb += error.sum() ** 2
         w -= 0.5 * g / np.sqrt(gw)
-        b -= 0.1 * error.sum() / np.sqrt(gb)
-    s = np.bincount(rows_, x * w[cols], len(y)) + b
-    a_, b_ = _platt(s[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
-    full = np.zeros(4 << bits, np.float32)
-    full[used] = w
-    return QualityModel(full.reshape(4, -1), float(b), a_, b_)
+        intercept -= 0.1 * error.sum() / np.sqrt(gb)
+    s = scored()
+    slope, shift = _platt(s[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
+    return QualityModel(w.astype(np.float32), float(intercept), slope, shift)
 
 
 def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
