@@ -31,7 +31,7 @@ from floppyscope.llm.common import LOWER, SPACE, in_batches, mix, span_hashes, s
 SEGMENT_BITS = 21
 BITS_PER_BYTE = 1.5
 MAX_BYTES = 256 << 20
-PROBES = 6
+PROBES = 5
 #: Levels are log LOG_BASE of the count.
 LOG_BASE = 1.5
 MAX_LEVEL = 108  # that of 2**63
@@ -64,15 +64,15 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
 
 
 def _hash(grams: np.ndarray, level: int) -> np.ndarray:
-    """The hash of each n-gram at a level, from which its first places are taken."""
+    """The hash of each n-gram at a level, from which its places are taken."""
     return mix(grams ^ mix(np.full(1, level, np.uint64) * _GOLD))
 
 
-def _place(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash for the k-th place and those to come, and the k-th place in the segment."""
-    if k and k % 3 == 0:
-        g = mix(g + _GOLD)
-    return g, (g >> np.uint64(SEGMENT_BITS * (k % 3)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+def _place(g: np.ndarray, k: int) -> np.ndarray:
+    """The k-th place in the segment: all places of a hash lie in one line of 64 bytes, so that
+    probes after the first find it in the processor's cache."""
+    lines = np.uint64((1 << SEGMENT_BITS - 9) - 1)
+    return ((g & lines) << np.uint64(9) | g >> np.uint64(SEGMENT_BITS - 9 + 9 * k) & np.uint64(511)).astype(np.int64)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -91,8 +91,7 @@ def fill_segment(grams: np.ndarray, counts: np.ndarray) -> bytes:
     for j in range(1, int(levels.max(initial=0)) + 1):
         g = _hash(grams[levels >= j], j)
         for k in range(PROBES):
-            g, place = _place(g, k)
-            bits[place] = True
+            bits[_place(g, k)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -112,8 +111,11 @@ class LanguageModel:
     @cached_property
     def noise(self) -> float:
         """Counts that chance hits add over all words after a given one: each of the distinct
-        words hits with the share of set bits to the power of PROBES."""
-        return self.distinct * (float(np.bitwise_count(self.bits).mean()) / 8) ** PROBES if len(self.bits) else 0.0
+        words hits with the share of set bits in a line to the power of PROBES."""
+        if not len(self.bits):
+            return 0.0
+        share = np.bitwise_count(self.bits.view(np.uint64)).reshape(-1, 8).sum(axis=1) / 512
+        return self.distinct * float((share**PROBES).mean())
 
     def quantised(self, grams: np.ndarray) -> np.ndarray:
         """Counts by repeated membership probes: the level before the first that is missing."""
@@ -125,8 +127,7 @@ class LanguageModel:
             # Each probe is made for those only that passed the ones before it.
             g = _hash(grams[active], j)
             for k in range(PROBES):
-                g, place = _place(g, k)
-                at = base[active] + place
+                at = base[active] + _place(g, k)
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 active, g = active[hit], g[hit]
             if not len(active):
@@ -134,6 +135,34 @@ class LanguageModel:
             levels[active] = j
         return count_of(levels)
 
+    def quantised_words(self, words: np.ndarray) -> np.ndarray:
+        """``quantised`` of sorted words, each probed once by a worker: frequent words have many levels."""
+        found = np.full(len(words), -1.0)
+        for known, counts in self._seen:
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            hit = known[at] == words
+            found[hit] = counts[at[hit]]
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self.quantised(words[new])
+            self._remember(words[new], found[new])
+        return found
+
+    @cached_property
+    def _seen(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted words with their counts: runs of falling length, few of them."""
+        return []
+
+    def _remember(self, words: np.ndarray, counts: np.ndarray) -> None:
+        seen = self._seen
+        seen.append((words, counts))
+        while len(seen) > 1 and 2 * len(seen[-1][0]) > len(seen[-2][0]):
+            (a, x), (b, y) = seen.pop(), seen.pop()
+            at = np.searchsorted(b, a)
+            seen.append((np.insert(b, at, a), np.insert(y, at, x)))
+        if sum(len(k) for k, _ in seen) > MAX_HEAD:
+            seen.clear()
+
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the words that the head holds, and whether it holds them."""
         if not len(self.head):
@@ -148,7 +177,7 @@ class LanguageModel:
     def token_logs(self, words: np.ndarray) -> np.ndarray:
         """log10 p of every token after the one before it."""
         unique, inverse = np.unique(words, return_inverse=True)
-        one = self.quantised(unique)[inverse]
+        one = self.quantised_words(unique)[inverse]
         both, back = np.unique(pairs(words), return_inverse=True)
         two = self.quantised(both)[back]
         start = self.quantised(np.array([END]))
