@@ -38,6 +38,8 @@ MAX_LEVEL = 108  # that of 2**63
 MU = 300.0
 #: Words whose exact counts are broadcast at most: 16 bytes each.
 MAX_HEAD = 3_000_000
+#: Words whose probed counts a worker remembers at most; then it starts anew.
+SEEN = 400_000
 #: N-grams that a task holds before it hands them on.
 HELD = 1_000_000
 
@@ -160,7 +162,7 @@ class LanguageModel:
             (a, x), (b, y) = seen.pop(), seen.pop()
             at = np.searchsorted(b, a)
             seen.append((np.insert(b, at, a), np.insert(y, at, x)))
-        if sum(len(k) for k, _ in seen) > MAX_HEAD:
+        if sum(len(k) for k, _ in seen) > SEEN:
             seen.clear()
 
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
