@@ -239,13 +239,21 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(rows: DataFrame, words: int = WORDS, bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(rows: DataFrame, words: int = WORDS, bits: int | None = None) -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``rows`` (id, text).
 
+    ``bits`` that links may differ in are MAX_BITS for shingles of WORDS words. Shingles of other
+    lengths are linked by their exact similarity (``similar``) if ``bits`` isn't given.
     Ids can be of any type with an order. ``component_id`` is the least id that is reached over links. Rows without words have the
     fingerprint zero and link like others. A null id gets the least id of its component, or
     null if none has one; repeated rows come out as often as they went in.
     """
+    if bits is None:
+        if words != WORDS:
+            from floppyscope.llm.similar import similar
+
+            return similar(rows, words)
+        bits = MAX_BITS
     found = written(fingerprint_rows(rows, words), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
     star = components(links(distinct, bits))

@@ -45,3 +45,26 @@ def test_run(spark, odd, folder):
     odd.write.parquet(f"{folder}/documents.parquet")
     out = p.run(spark, folder)
     assert out.columns[0] == "doc_id" and out.count() > 0
+
+
+def test_near_dedup_finds_similarities_of_80_percent(spark, folder):
+    import random
+
+    rnd = random.Random(7)
+    texts = []
+    for changes in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12) * 6:
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice((8, 60, 300)))]
+        other = list(words)
+        for i in rnd.sample(range(len(words)), min(changes * len(words) // 300 + (changes > 0), len(words))):
+            other[i] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    texts += ["", None, " \n"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 20 < len(set(root)) < len(texts) - 20
+    out = p.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(root))
