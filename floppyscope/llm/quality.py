@@ -7,21 +7,21 @@ the fit, and documents are scored in Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import LOWER, SPACE, in_batches, mix, span_hashes, string_chunks, table, word_spans
+from floppyscope.llm.common import LOWER, SPACE, in_batches, mix, span_hashes, string_chunks, table, word_spans, written
 
 #: Symbols that count_base counts.
 SYMBOLS = "#*$%&|<>"
 #: Rows of labelled text that the fit uses at most, chosen by a hash of the id.
 MAX_FIT_ROWS = 3_000
-#: Characters of each labelled text that the fit reads at most. Scoring always reads whole texts.
-MAX_FIT_CHARS = 2_000
 BITS = 18
 
 
@@ -84,7 +84,27 @@ def scores(data: np.ndarray, offsets: np.ndarray, model: QualityModel, bits: int
     return out
 
 
+#: For each kind of n-gram the distinct n-grams of one text, their times and how many there are in all.
+Counted = list[tuple[np.ndarray, np.ndarray, int]]
+
+
+def counted(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[Counted]:
+    """The counted n-grams of every row."""
+    rows: list[Counted] = [[] for _ in range(len(offsets) - 1)]
+    for index, bounds in zip(*_grams(data, offsets, bits)):
+        for i, row in enumerate(rows):
+            gram, times = np.unique(index[bounds[i] : bounds[i + 1]], return_counts=True)
+            row.append((gram.astype(np.int32), times.astype(np.uint32), int(bounds[i + 1] - bounds[i])))
+    return rows
+
+
 def fit(texts: list[str], good: list[int], bits: int = BITS, rounds: int = 40, l2: float = 1e-6) -> QualityModel:
+    """``fit_counted`` of whole texts."""
+    rows = (row for _a, _b, data, offsets in string_chunks(pa.array(texts, pa.large_string())) for row in counted(data, offsets, bits))
+    return fit_counted(rows, good, bits, rounds, l2)
+
+
+def fit_counted(rows: Iterable[Counted], good: list[int], bits: int = BITS, rounds: int = 40, l2: float = 1e-6) -> QualityModel:
     """Fits by full-batch gradient steps with a step size per weight (AdaGrad); every fifth
     row is held back for the calibration. With one class only, the model scores its share."""
     y = np.asarray(good, np.float64)
@@ -95,13 +115,14 @@ def fit(texts: list[str], good: list[int], bits: int = BITS, rounds: int = 40, l
     held = np.arange(len(y)) % 5 == 4
     size = 1 << bits
     parts = []  # (first row, end row, kind, row, n-gram, times, n-grams of each row) of a run of rows: eight bytes an entry
-    for a, b, data, offsets in string_chunks(pa.array(texts, pa.large_string())):
-        for k, (index, bounds) in enumerate(zip(*_grams(data, offsets, bits))):
-            counts = np.diff(bounds)
-            row = np.repeat(np.arange(len(counts)), counts)
-            code, times = np.unique(row.astype(np.int64) << 32 | index, return_counts=True)
-            few = np.uint16 if b - a <= 1 << 16 and times.max(initial=0) < 1 << 16 else np.uint32
-            parts.append((a, b, k, (code >> 32).astype(few), (code & 0xFFFFFFFF).astype(np.int32), times.astype(few), np.maximum(1, counts)))
+    rows, a = iter(rows), 0
+    while some := list(islice(rows, 64)):
+        for k in range(4):
+            gram, times = (np.concatenate([r[k][i] for r in some]) for i in (0, 1))
+            few = np.uint16 if times.max(initial=0) < 1 << 16 else np.uint32
+            row = np.repeat(np.arange(len(some), dtype=np.uint16), [len(r[k][0]) for r in some])
+            parts.append((a, a + len(some), k, row, gram, times.astype(few), np.maximum(1, [r[k][2] for r in some])))
+        a += len(some)
     weight = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum())) * ~held
     w, intercept, gw, gb = np.zeros((4, size)), 0.0, np.full((4, size), 1e-12), 1e-12
 
@@ -142,19 +163,47 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0) / scale), float(b)
 
 
-def fit_on_labels(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, max_chars: int = MAX_FIT_CHARS) -> QualityModel:
+def fit_on_labels(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> QualityModel:
     """The model of the labelled rows: at most ``max_rows`` of them, those with the least hash
-    of the id, and of each text at most ``max_chars`` characters (documented bounds of the
-    fit alone). Rows without an id, a text or a quality label are left out; an id labelled
-    more than once counts with its least label."""
+    of the id (a documented bound of the fit alone), each with its whole text. Rows without an
+    id, a text or a quality label are left out; an id labelled more than once counts with its
+    least label. Workers count the n-grams; the driver sees counts and no text."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in string_chunks(batch.column(3)):
+                found = counted(data, offsets)
+                packed = [pa.array([b"".join(r[k][i].tobytes() for k in range(4)) for r in found], pa.binary()) for i in (0, 1)]
+                sizes = [pa.array([[v for r in row for v in (len(r[0]), r[2])] for row in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), *packed, *sizes], ["doc_id", "content", "quality", "grams", "times", "sizes"])
+
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (
-        documents.where("text IS NOT NULL").select("doc_id", F.substring("text", 1, max_chars).alias("text"))
+        documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("content"), "text")
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows rows of two integers
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).toArrow()
+        .select(F.col("doc_id").cast("long"), "content", F.col("quality").cast("long"), "text")
     )
-    return fit(rows["text"].to_pylist(), [int(q > 0) for q in rows["quality"].to_pylist()])
+    order = (F.xxhash64("doc_id"), "doc_id", "content")
+    schema = "doc_id long, content long, quality long, grams binary, times binary, sizes array<long>"
+    features = written(in_batches(rows).mapInArrow(run, schema), "fit-counts")
+    # Of an id with many rows those with the least hash of the text, as many as fit.
+    keys = features.select("doc_id", "content", "quality").orderBy(*order).limit(max_rows).collect()
+    place: dict[tuple[int, int], list[int]] = {}
+    for i, r in enumerate(keys):
+        place.setdefault((r["doc_id"], r["content"]), []).append(i)
+    slots: list[Counted] = [[]] * len(keys)
+    for r in features.toLocalIterator():
+        at = place.get((r["doc_id"], r["content"]))
+        if at:
+            slots[at.pop()] = _unpacked(r["grams"], r["times"], r["sizes"])
+    return fit_counted(slots, [int(r["quality"] > 0) for r in keys])
+
+
+def _unpacked(grams: bytes, times: bytes, sizes: list[int]) -> Counted:
+    cuts = np.cumsum(sizes[::2])[:-1]
+    parts = (np.split(np.frombuffer(v, t), cuts) for v, t in ((grams, np.int32), (times, np.uint32)))
+    return list(zip(*parts, sizes[1::2]))
 
 
 def count_base(text: str) -> tuple[int, int, int, int, int]:

@@ -444,3 +444,19 @@ def test_pii_added_spans(spark):
 def test_pii_reliabilities():
     q = pii.reliabilities([("+++0+", 500), ("-+-0+", 300), ("0+0++", 40), ("0--0-", 60)])
     assert q["+++0+"] > 0.9 and q["0+0++"] > 0.5 and q["0--0-"] < 0.5 and q["-+-0+"] < 0.5
+
+
+def test_quality_fit_reads_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(("quick", "brown", "hills", "river", "quiet")) for _ in range(600)) + (" zqzqzq junk" * 30 if i % 2 else "")) for i in range(60)]
+    assert all(len(t) > 2000 and "zqzqzq" not in t[:2000] for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit_on_labels(df, labels)
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    want = quality.fit([dict(rows)[i] for i in order], [1 - i % 2 for i in order])
+    assert np.array_equal(model.weights, want.weights) and (model.a, model.b) == (want.a, want.b)
+    bad, good = (model.probability(quality.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]), model))[0] for t in (b"zqzqzq junk " * 9, b"quiet river hills " * 9))
+    assert bad < 0.5 < good
