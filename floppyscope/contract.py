@@ -167,7 +167,7 @@ def chain_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     links = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(order).alias("next"), (F.row_number().over(order) == 1).alias("head"))
-    return walk(links, "o_custkey", "o_orderkey", "next", "head", guard=64).withColumnRenamed("node", "cluster")
+    return walk(links, "o_custkey", "o_orderkey", "next", "head").withColumnRenamed("node", "cluster")
 
 
 @query(

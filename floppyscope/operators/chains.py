@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def walk(links: DataFrame, group: str, node: str, next_node: str, head: str, guard: int) -> DataFrame:
-    """(group, node, step) along each chain from its heads, at most ``guard`` steps.
+def walk(links: DataFrame, group: str, node: str, next_node: str, head: str, guard: int | None = None) -> DataFrame:
+    """(group, node, step) along each chain from its heads, at most ``guard`` steps; as many as
+    the group has nodes if it is None, which cuts no chain without a cycle.
 
     A chain lies within its group, so each group is gathered once and followed in a map; a
     group is one volume or one file's chain, which fits a row. A chain that runs into itself
@@ -21,6 +22,6 @@ def walk(links: DataFrame, group: str, node: str, next_node: str, head: str, gua
         known = F.map_contains_key("next", F.coalesce(follow, F.lit(-1)))
         return F.when(follow.isNotNull() & known, F.concat(path, F.array(follow))).otherwise(path)
 
-    steps = F.least(F.size("next") * 2, F.lit(guard))
+    steps = F.size("next") if guard is None else F.least(F.size("next") * 2, F.lit(guard))
     path = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), F.array(F.col("start")), lambda p, i: F.when(F.size(p) == i, step(p, i)).otherwise(p))
     return grouped.select(group, "next", start).select(group, F.posexplode(path).alias("step", "node")).select(group, "node", "step")

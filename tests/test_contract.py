@@ -45,3 +45,10 @@ def test_query(spark, oracle, name):
     want = [tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert got
+
+
+def test_chain_walk_follows_long_chains(spark, tmp_path):
+    rows = [(1, 3 * i) for i in range(200)] + [(2, 1000)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [(r["o_custkey"], r["cluster"], r["step"]) for r in contract.QUERIES["chain_walk"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, 3 * i, i) for i in range(200)] + [(2, 1000, 0)]
