@@ -211,7 +211,9 @@ def locate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT k AS user_id, coalesce(v, 'none') AS event_type FROM range(0, 200) r(k) LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id) e ON e.user_id = r.k""",
 )
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.replay(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", 0, 200, F.lit("none"))
+    events = table(spark, sf_dir, "events")
+    greatest = events.agg(F.max("user_id")).first()[0]
+    return ops.replay(events, "user_id", "event_id", "event_type", 0, max(200, (greatest or 0) + 1), F.lit("none"))
 
 
 @query(

@@ -52,3 +52,10 @@ def test_chain_walk_follows_long_chains(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = [(r["o_custkey"], r["cluster"], r["step"]) for r in contract.QUERIES["chain_walk"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [(1, 3 * i, i) for i in range(200)] + [(2, 1000, 0)]
+
+
+def test_journal_replay_keeps_every_user(spark, tmp_path):
+    rows = [(i, k, f"e{i}") for i, k in enumerate((0, 3, 199, 200, 200, 950))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["user_id"]: r["event_type"] for r in contract.QUERIES["journal_replay"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(951), "none") | {0: "e0", 3: "e1", 199: "e2", 200: "e4", 950: "e5"}
