@@ -21,25 +21,48 @@ CHUNK_BYTES = 1 << 18
 WIDE_BYTES = 1 << 20
 
 _local_scratch: dict[str, str] = {}
+#: Paths of the scratch tables of this process.
+_scratch: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    That folder is ``spark.checkpoint.dir``; only where it is unset, as in tests on one
-    machine, a temporary folder of this process stands in for it.
+    That folder is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given. Where both
+    are unset, a temporary folder of this process stands in for it, on a local master only:
+    elsewhere each executor would write to its own disk, and reads would miss those files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _local_scratch.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="floppyscope-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _scratch:
+            _scratch.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all scratch tables that this process has written. Results that read them must
+    have been used or written by then; a long-lived session calls this between queries."""
+    discard(spark, list(_scratch))
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` as a table written once to the shared folder; its lineage ends there, so a
     lost executor costs a reread and never a recomputation."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -123,24 +146,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two primes under 2**31 and a base for each; a hash of bytes is a pair of polynomials modulo them.
+PRIMES = (2147483647, 2147483629)
+BASES = (1220703125, 1676531827)
+#: Bytes up to which sums of (byte + 1) * power stay under 2**64.
+EXACT_BYTES = 1 << 24
+_tables: dict[int, list[np.ndarray]] = {}
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    t = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        t[have : have + more] = t[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return t.astype(np.uint32)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; kept for runs of usual size only."""
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of each base and of its inverse; kept for runs of usual size only."""
     size = next((kept for kept in (CHUNK_BYTES + 1024, WIDE_BYTES + 1024) if n <= kept), n)
     if size in _tables:
         return _tables[size]
-    made = []
-    for base in (_P, _PINV):
-        t = np.full(size, base, np.uint64)
-        t[0] = 1
-        made.append(np.multiply.accumulate(t))
+    made = [_powers(x, p, size) for b, p in zip(BASES, PRIMES) for x in (b, pow(b, -1, p))]
     if size <= WIDE_BYTES + 1024:
-        _tables[size] = (made[0], made[1])
-    return made[0], made[1]
+        _tables[size] = made
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -154,14 +186,41 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, alike wherever the bytes stand."""
+    """A 64-bit hash of each span's bytes, alike wherever the bytes stand.
+
+    Two polynomials modulo primes under 2**31 make 62 bits, which are then spread with the
+    length. A polynomial modulo a power of two would take some regular texts for equal.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    tables = _power_tables(len(data) + 1)
+    letters = data.astype(np.uint64)
+    letters += np.uint64(1)
+    out = []
+    for k, prime in enumerate(map(np.uint64, PRIMES)):
+        power, inverse = tables[2 * k], tables[2 * k + 1]
+        terms = letters * power[: len(data)]
+        if len(data) > EXACT_BYTES:
+            terms %= prime
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        out.append((sums[ends] - sums[starts]) % prime * inverse[starts] % prime)
+    return mix((out[0] << np.uint64(31) | out[1]) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether ``lengths`` bytes of ``data`` from ``starts`` equal those of ``other`` from ``at``, for each span."""
+    out = np.ones(len(starts), bool)
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(starts):  # some megabytes at a time
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WIDE_BYTES, "right")))
+        n = lengths[a:b]
+        unlike = np.flatnonzero(data[ragged(starts[a:b], n)] != other[ragged(at[a:b], n)])
+        if len(unlike):
+            out[a + np.searchsorted(np.cumsum(n), unlike, "right")] = False
+        a = b
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

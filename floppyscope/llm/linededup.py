@@ -101,12 +101,11 @@ def _parts(letters: Column, chars: Column) -> Column:
     return F.aggregate(numbers, F.struct(zero.alias("left"), zero.alias("right"), none.alias("parts")), gather)
 
 
-def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def _near(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h, h2, first) of every distinct line that has an earlier one at one edit's distance,
     and the place ``first`` of the earliest such line."""
-    shared = written(_shared(lines.select(F.explode("halves").alias("key"), "h")), "halves")
-    place = F.struct("doc_id", "row", "n").alias("place")
-    halves = lines.where(F.size("halves") > 0).select("h", "h2", place, F.explode("halves").alias("key"))
+    halves = distinct.where(F.size("halves") > 0).select("h", "h2", "place", F.explode("halves").alias("key"))
+    shared = written(_shared(halves), "halves")
     # One place of each line that shares a half; its text is read again there, and nowhere else.
     half = written(halves.join(small(shared), "key", "left_semi").groupBy("h", "h2").agg(F.min("place").alias("place")), "half-shared")
     wanted = half.groupBy("place.doc_id", "place.row").agg(F.collect_list(F.struct("h", "h2", "place")).alias("wanted"))
@@ -143,39 +142,64 @@ def _near(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("line", "other", 1) >= 0).select("h", "h2", "first")
 
 
-def dedup(documents: DataFrame) -> DataFrame:
+def dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(document, n_lines, n_removed) of every row of ``documents``: all its columns as one
     struct, with ``text`` cut down to the lines that stay, and counts of lines (not blank).
 
     Earlier is by doc_id (null first), then by a hash of the text, then by the line. A line
-    goes by an earlier one whether or not that one goes itself. Blank lines stay. A null text
-    stays null; no row is dropped. Rows that are equal in id and text count as one and come out
-    alike: rows are told apart by content, never by their place, which changes with the cluster.
+    goes by an earlier one whether or not that one goes itself; lines of fewer than
+    ``min_chars`` characters go by equal ones only. Blank lines stay. A null text stays null;
+    no row is dropped. Rows are told apart by content, never by their place, which changes with
+    the cluster; of rows equal in id and text the first in the order of all columns counts, and
+    the others lose every line.
     """
     rows = documents.select(F.struct("*").alias("document"), "doc_id", row_key().alias("row"))
     texts = rows.select("doc_id", "row", "document.text")
     n = F.char_length("line")
-    halves = F.when(n >= MIN_CHARS, _segment_keys(F.col("line"), n, 2)).otherwise(F.array().cast("array<bigint>"))
+    halves = F.when(n >= min_chars, _segment_keys(F.col("line"), n, 2)).otherwise(F.array().cast("array<bigint>"))
     lines = written(_lines(texts).select("doc_id", "row", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), halves.alias("halves")), "lines")
-    near = written(_near(texts, lines), "near-lines")
+    # A very common line is one row from here on.
     place = F.struct("doc_id", "row", "n")
-    many = lines.groupBy("h", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("times")).where("times > 1").select("h", "h2", "kept")
+    distinct = written(lines.groupBy("h", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct-lines")
+    near = written(_near(texts, distinct), "near-lines")
+    many = distinct.where("times > 1").select("h", "h2", F.col("place").alias("kept"))
     # Of equal lines all but the first go; of a line near an earlier one all go.
     known = many.join(near.select("h", "h2", F.lit(True).alias("near")), ["h", "h2"], "full")
     known = written(known.select("h", "h2", F.when(F.col("near"), F.lit(None)).otherwise(F.col("kept")).alias("kept")), "known-lines")
     gone = lines.join(small(known), ["h", "h2"]).where(F.col("kept").isNull() | (F.struct("doc_id", "row", "n") != F.col("kept")))
     gone = written(gone.groupBy("doc_id", "row").agg(F.collect_set("n").alias("gone")), "gone-lines")
+
+    twins = written(rows.groupBy("doc_id", "row").agg(F.count("*").alias("times")).where("times > 1").select("doc_id", "row"), "twins")
+    again = F.lit(False)
+    if not twins.isEmpty():
+        rows = _without_twins(rows, twins)
+        again = F.col("again")
     out = _on_row(rows, small(gone, F.size("gone") * 4 + ROW_BYTES), "left")
 
     def cut(parts):
-        kept = F.when(F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-        filled = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
-        return F.struct(kept.alias("text"), F.coalesce(filled, F.lit(0)).cast("long").alias("n_lines"))
+        filled = F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK)) != "")
+        stays = lambda x, i: F.when(again, F.btrim(x, F.lit(BLANK)) == "").otherwise(F.col("gone").isNull() | ~F.array_contains("gone", i))
+        kept = F.when(~again & F.col("gone").isNull(), F.col("document.text")).otherwise(F.array_join(F.filter(parts, stays), "\n"))
+        return F.struct(kept.alias("text"), F.size(F.filter(filled, lambda x: x)).cast("long").alias("n_lines"))
 
     out = out.withColumn("cut", F.when(F.col("document.text").isNotNull(), let(F.split("document.text", "\n", -1), cut)))
     zero = F.lit(0).cast("long")
-    removed = F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long")
-    return out.select(F.col("document").withField("text", F.col("cut.text")).alias("document"), F.coalesce("cut.n_lines", zero).alias("n_lines"), removed.alias("n_removed"))
+    n_lines = F.coalesce("cut.n_lines", zero)
+    removed = F.when(again, n_lines).otherwise(F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long"))
+    return out.select(F.col("document").withField("text", F.col("cut.text")).alias("document"), n_lines.alias("n_lines"), removed.alias("n_removed"))
+
+
+def _without_twins(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """``rows`` with ``again``: whether an equal row, by id and text, comes before. Copies that
+    agree in all columns are counted before they are shuffled, and dealt out again."""
+    listed = small(twins.withColumn("twin", F.lit(True)))
+    marked = _on_row(rows, listed, "left").select(*rows.columns, F.coalesce("twin", F.lit(False)).alias("twin"))
+    alone = marked.where("NOT twin").select(*rows.columns, F.lit(False).alias("again"))
+    counted = written(marked.where("twin").groupBy("doc_id", "row", "document").agg(F.count("*").alias("copies")), "twin-rows")
+    first = counted.groupBy("doc_id", "row").agg(F.min(F.struct(F.xxhash64("document"), "document")).alias("first"))
+    lead = _on_row(counted, small(first, F.octet_length("first.document.text") + F.lit(1024)), "inner")
+    copies = lead.select(*rows.columns, F.col("document").eqNullSafe(F.col("first.document")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return alone.unionByName(copies.select(*rows.columns, (~F.col("leads") | (F.col("copy") > 1)).alias("again")))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Word and word-pair counts of the training rows are quantised on a log scale, and
 is put into one Bloom filter once for every level up to its own. The filter is broadcast; a
 count is found again by probing level after level until one is missing. Probabilities are
 smoothed with a Dirichlet prior: p(w | v) = (c(v w) + mu p(w)) / (c(v) + noise + mu), where
-noise is what chance hits of the filter are expected to add over all w, so that the
-probabilities after a word add up to one, and mu = MU + 10 noise.
+noise is the count that chance hits of the filter are expected to add over all w, and
+mu = MU + 10 noise. Counts are the middles of their levels, so that the probabilities after a
+word add up to one as nearly as levels tell counts, and no nearer.
 
 The filter grows with the training text, BITS_PER_BYTE for each of its bytes, up to MAX_BYTES
 (the proven bound of what is broadcast). Past that bound nothing is left out, but probes hit
@@ -40,8 +41,12 @@ MU = 300.0
 MAX_HEAD = 3_000_000
 #: Words whose probed counts a worker remembers at most; then it starts anew.
 SEEN = 400_000
-#: N-grams that a task holds before it hands them on.
+#: N-grams that a task holds before it hands them on, or adds them up.
 HELD = 1_000_000
+#: Bytes of training text for each part of the n-grams, one of which a task adds up at a time.
+PART_BYTES = 64 << 20
+#: Bytes of a segment that travel as one row.
+PIECE = 1 << 12
 
 END = np.uint64(0x5BF0A8B1457695A7)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,12 +117,17 @@ class LanguageModel:
 
     @cached_property
     def noise(self) -> float:
-        """Counts that chance hits add over all words after a given one: each of the distinct
-        words hits with the share of set bits in a line to the power of PROBES."""
+        """Counts that chance hits add over all words after a given one. A word passes a level
+        by chance with the share of set bits in a line to the power of PROBES, climbs on while
+        it does so, and gains the step between the counts of two levels each time."""
         if not len(self.bits):
             return 0.0
         share = np.bitwise_count(self.bits.view(np.uint64)).reshape(-1, 8).sum(axis=1) / 512
-        return self.distinct * float((share**PROBES).mean())
+        many = np.bincount((share * 512).astype(np.int64), minlength=513)  # lines by set bits
+        passed = (np.arange(513) / 512.0) ** PROBES
+        steps = np.diff(count_of(np.arange(MAX_LEVEL + 1)))
+        gained = sum(passed**j * step for j, step in enumerate(steps, 1))
+        return self.distinct * float((many * gained).sum() / many.sum())
 
     def quantised(self, grams: np.ndarray) -> np.ndarray:
         """Counts by repeated membership probes: the level before the first that is missing."""
@@ -189,6 +199,13 @@ class LanguageModel:
         return np.log10((two + mu * prior) / (context + self.noise + mu))
 
 
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all parts with their counts added up."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _group(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
 def _group(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(grams, kind="stable")
     grams, counts = grams[order], counts[order]
@@ -198,21 +215,29 @@ def _group(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grams[first], np.add.reduceat(counts, first)
 
 
-def _emit(parts: list[tuple[np.ndarray, np.ndarray]], kind: int, segments: int) -> pa.RecordBatch:
-    """One row for each segment: its n-grams seen once, then the others with their counts."""
-    grams, counts = _group(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    segment = segment_of(grams, segments)
-    order = np.argsort(segment, kind="stable")
-    grams, counts, segment = grams[order], counts[order], segment[order]
-    bounds = np.searchsorted(segment, np.arange(segments + 1))
+def part_of(grams: np.ndarray, segments: int, slices: int) -> np.ndarray:
+    """The part of each n-gram: its segment of the filter, cut into slices by other bits."""
+    return segment_of(grams, segments) * slices + (mix(grams) % np.uint64(slices)).astype(np.int64)
+
+
+def _emit(parts: list[tuple[np.ndarray, np.ndarray]], kind: int, segments: int, slices: int) -> pa.RecordBatch:
+    """One row for each part: its n-grams seen once, then the others with their counts."""
+    grams, counts = _sum(parts)
+    part = part_of(grams, segments, slices)
+    order = np.argsort(part, kind="stable")
+    grams, counts, part = grams[order], counts[order], part[order]
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
     rows = []
-    for s in np.flatnonzero(np.diff(bounds)).tolist():
-        g, c = grams[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        g, c = grams[a:b], counts[a:b]
         many = c > 1
-        rows.append((s, kind, g[~many].tobytes(), g[many].tobytes(), c[many].astype(np.uint64).tobytes()))
+        rows.append((int(part[a]), kind, g[~many].tobytes(), g[many].tobytes(), c[many].astype(np.uint64).tobytes()))
     columns = list(zip(*rows)) if rows else [()] * 5
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["segment", "kind", "once", "many", "counts"])
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "kind", "once", "many", "counts"])
+
+
+FILLED = ["piece", "bits", "word", "times"]
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -223,13 +248,15 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def train(rows: DataFrame) -> LanguageModel:
     """Counts the words and word pairs of every row's ``text`` (null: empty) and builds the filter.
 
-    Tasks count what they read and hand on packed counts by filter segment; a segment's task
-    adds them up, fills the segment and hands on the exact word counts. A frequent word is
-    one entry of each task, so no segment is hot.
+    Tasks count what they read and hand on packed counts by part of the n-grams; there are more
+    parts the more text there is, and a task adds up one at a time, fills its segment of the
+    filter and hands on the exact word counts. Segments that several parts filled are united
+    piece by piece. A frequent word is one entry of each task, so no part is hot.
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = int(min(MAX_BYTES << 3, max(1, BITS_PER_BYTE * size)) / (1 << SEGMENT_BITS)) + 1
+    slices = int(size / PART_BYTES / segments) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -242,37 +269,62 @@ def train(rows: DataFrame) -> LanguageModel:
                     parts[kind].append((unique, times))
                     held[kind] += len(unique)
                     if held[kind] > HELD:
-                        parts[kind] = [_group(np.concatenate([p[0] for p in parts[kind]]), np.concatenate([p[1] for p in parts[kind]]))]
+                        parts[kind] = [_sum(parts[kind])]
                         held[kind] = len(parts[kind][0][0])
                         if held[kind] > HELD // 2:
-                            yield _emit(parts[kind], kind, segments)
+                            yield _emit(parts[kind], kind, segments, slices)
                             parts[kind], held[kind] = [], 0
         for kind in (0, 1):
             if parts[kind]:
-                yield _emit(parts[kind], kind, segments)
+                yield _emit(parts[kind], kind, segments, slices)
+
+    def filled(part: int, kinds: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        whole = [_sum(k) for k in kinds]
+        words, times = whole[0]
+        bits = fill_segment(np.concatenate([w[0] for w in whole]), np.concatenate([w[1] for w in whole]))
+        pieces = [bits[a : a + PIECE] for a in range(0, len(bits), PIECE)]
+        at = np.arange(len(pieces)) + part // slices * len(pieces)
+        n, m = len(pieces), len(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pieces, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], FILLED)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(words.view(np.int64)), pa.array(times)], FILLED)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
+        now, kinds, held = None, [[], []], [0, 0]
         for batch in batches:
-            for s, kind, once, many, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, kind, once, many, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now:
+                    if now is not None:
+                        yield from filled(now, kinds)
+                    now, kinds, held = part, [[], []], [0, 0]
                 g, m = np.frombuffer(once, np.uint64), np.frombuffer(many, np.uint64)
-                slot = found.setdefault(s, [[], []])[kind]
-                slot.append((g, np.ones(len(g), np.int64)))
-                slot.append((m, np.frombuffer(counts, np.int64)))
-        for s in list(found):
-            kinds = found.pop(s)
-            whole = [_group(np.concatenate([p[0] for p in k]), np.concatenate([p[1] for p in k])) if k else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in kinds]
-            words, times = whole[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s], pa.int32()), pa.array([fill_segment(np.concatenate([w[0] for w in whole]), np.concatenate([w[1] for w in whole]))], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())],
-                ["segment", "bits", "word", "times"],
-            )
-            if len(words):
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), pa.nulls(n, pa.binary()), pa.array(words.view(np.int64)), pa.array(times)], ["segment", "bits", "word", "times"])
-
-    counted = in_batches(rows.select("text")).mapInArrow(count, "segment int, kind int, once binary, many binary, counts binary")
-    parts = written(counted.repartition("segment").mapInArrow(fill, "segment int, bits binary, word long, times long"), "lm-parts")
+                kinds[kind] += [(g, np.ones(len(g), np.int64)), (m, np.frombuffer(counts, np.int64))]
+                held[kind] += len(g) + len(m)
+                if held[kind] > HELD and held[kind] > 2 * len(kinds[kind][0][0]):
+                    kinds[kind] = [_sum(kinds[kind])]
+                    held[kind] = len(kinds[kind][0][0])
+        if now is not None:
+            yield from filled(now, kinds)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
+        for batch in batches:
+            for at, more in zip(*(c.to_pylist() for c in batch.columns)):
+                if at == now:
+                    bits |= np.frombuffer(more, np.uint8)
+                    continue
+                if now is not None:
+                    yield pa.RecordBatch.from_pydict({"piece": [now], "bits": [bits.tobytes()]})
+                now, bits = at, np.frombuffer(more, np.uint8).copy()
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"piece": [now], "bits": [bits.tobytes()]})
+
+    counted = in_batches(rows.select("text")).mapInArrow(count, "part long, kind int, once binary, many binary, counts binary")
+    dealt = counted.repartition("part").sortWithinPartitions("part")
+    parts = written(dealt.mapInArrow(fill, "piece long, bits binary, word long, times long"), "lm-parts")
+    pieces = parts.where("bits IS NOT NULL").select("piece", "bits")
+    if slices > 1:
+        pieces = pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(unite, "piece long, bits binary")
     words = parts.where("word IS NOT NULL").select("word", "times")
     by_size = words.groupBy(F.floor(F.log2("times")).alias("size")).agg(F.count("*").alias("words"), F.sum("times").alias("tokens")).collect()  # 64 rows at most
     total, distinct = sum(r["tokens"] for r in by_size), sum(r["words"] for r in by_size)
@@ -286,9 +338,8 @@ def train(rows: DataFrame) -> LanguageModel:
     keys = head["word"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     bits = np.zeros(segments << SEGMENT_BITS - 3, np.uint8)
-    step = 1 << SEGMENT_BITS - 3
-    for r in parts.where("bits IS NOT NULL").select("segment", "bits").toLocalIterator():
-        bits[r["segment"] * step : (r["segment"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+    for r in pieces.toLocalIterator():
+        bits[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["bits"], np.uint8)
     return LanguageModel(bits, keys[order], head["times"].to_numpy()[order], floor, total, distinct, words)
 
 

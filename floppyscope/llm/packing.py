@@ -3,7 +3,11 @@
 A document longer than a sequence gives whole sequences of its own; what remains is placed,
 as it arrives, into the fill level whose choice leaves the least sum of squared counts of
 partially filled sequences. The counts stand in a level array. Every task packs the
-documents it reads, so there is no shuffle, and memory holds open sequences only.
+documents it reads, so there is no shuffle.
+
+At most MAX_OPEN sequences stay open, which bounds a task's memory at MAX_OPEN * size ids.
+Beyond that, and at the task's end, the fullest open sequence is closed where it stands: what
+it lacks is cut off the emptiest one. So only what would be padded is split.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from floppyscope.llm.tokens import encoder
 
 SIZE = 1024
 END_ID = 0
+#: Partially filled sequences that a task holds at most.
+MAX_OPEN = 4096
 
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -28,8 +34,10 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packer:
     """Places pieces of documents; rows come out once their sequence is closed."""
 
-    def __init__(self, size: int = SIZE, first_sequence: int = 0):
+    def __init__(self, size: int = SIZE, first_sequence: int = 0, max_open: int = MAX_OPEN):
         self.size = size
+        self.max_open = max_open
+        self.filled = 0  # ids cut off one open sequence to fill another
         self.next = first_sequence
         self.levels = np.zeros(size + 1, np.int64)  # levels[f]: open sequences that hold f ids
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(size + 1)]
@@ -77,8 +85,13 @@ class Packer:
             if f + n == self.size:
                 self._close(sequence, pieces)
             else:
-                self.levels[f + n] += 1
-                self.open[f + n].append((sequence, pieces))
+                self._keep(f + n, sequence, pieces)
+                if self.levels.sum() > self.max_open:
+                    self._close_fullest()
+
+    def _keep(self, level: int, sequence: int, pieces: list) -> None:
+        self.levels[level] += 1
+        self.open[level].append((sequence, pieces))
 
     def _close(self, sequence: int, pieces: list) -> None:
         offset = 0
@@ -86,15 +99,46 @@ class Packer:
             self._row(piece, sequence, offset)
             offset += len(piece[2])
 
+    def _take(self, level: int) -> tuple[int, list]:
+        self.levels[level] -= 1
+        return self.open[level].pop()
+
+    def _close_fullest(self) -> None:
+        """Closes the fullest of two or more open sequences; the emptiest ones fill it up."""
+        level = int(np.flatnonzero(self.levels)[-1])
+        sequence, pieces = self._take(level)
+        while level < self.size and self.levels.any():
+            low = int(np.flatnonzero(self.levels)[0])
+            other, left = self._take(low)
+            n = min(self.size - level, low)
+            self.filled += n
+            level += n
+            low -= n
+            while n:
+                doc, start, ids, total = left.pop()
+                cut = max(0, len(ids) - n)
+                if cut:
+                    left.append((doc, start, ids[:cut], total))
+                pieces.append((doc, start + cut, ids[cut:], total))
+                n -= len(ids) - cut
+            if low:
+                self._keep(low, other, left)
+        if level == self.size:
+            self._close(sequence, pieces)
+        else:
+            self._keep(level, sequence, pieces)
+
     def finish(self) -> None:
-        """Closes what is open: its pieces are run together and cut into whole sequences, and
-        the last part into sequences of falling powers of two, which need no padding."""
-        left = [p for level in self.open for _, pieces in level for p in pieces]
-        total = sum(len(p[2]) for p in left)
-        sizes = [self.size] * (total // self.size)
-        sizes += [1 << k for k in range(self.size.bit_length(), -1, -1) if total % self.size >> k & 1]
+        """Closes what is open. The ids of the last sequence, if they don't fill it, are cut
+        into sequences of falling powers of two, which need no padding."""
+        while self.levels.sum() > 1:
+            self._close_fullest()
+        if not self.levels.any():
+            return
+        level = int(np.flatnonzero(self.levels)[0])
+        left = self._take(level)[1]
+        sizes = [1 << k for k in range(self.size.bit_length() + 1) if level >> k & 1]
         room, sequence, offset = 0, -1, 0
-        sizes.reverse()
         for doc, start, ids, whole in left:
             at = 0
             while at < len(ids):
@@ -103,8 +147,6 @@ class Packer:
                 n = min(room, len(ids) - at)
                 self._row((doc, start + at, ids[at : at + n], whole), sequence, offset)
                 at, room, offset = at + n, room - n, offset + n
-        self.open = [[] for _ in range(self.size + 1)]
-        self.levels[:] = 0
 
     def taken(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -112,7 +154,7 @@ class Packer:
 
 
 def pack(documents: DataFrame, vocabulary: str, end_id: int = END_ID, size: int = SIZE) -> DataFrame:
-    """Packs every document (its ids, then ``end_id``) into sequences of ``size`` ids.
+    """Packs every document (its ids, then ``end_id``) into sequences of ``size`` ids (a power of two).
 
     One row per piece. A null text counts as empty and packs as its end id alone; a null or
     repeated doc_id packs like any other row. ``sequence_id`` holds the task's partition in

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floppyscope.llm.common import LOWER, SPACE, in_batches, string_chunks, table, word_spans, written
-from floppyscope.llm.decontaminate import small
+from floppyscope.llm.common import LOWER, SPACE, discard, in_batches, scratch_path, string_chunks, table, word_spans, written
+from floppyscope.llm.decontaminate import BROADCAST_BYTES, ROW_BYTES, small
 
 WORDS = 4
 MAX_BITS = 4
@@ -28,6 +28,8 @@ SEGMENTS = ((0, 21), (21, 42), (42, 64))
 SMALL = 48
 #: Rows of a bucket beyond which it is split into blocks, each pair of which is a bucket.
 HOT = 20_000
+#: Edges of a node beyond which it joins by broadcast.
+HUB = 100
 #: One in so many fingerprints is counted to find such buckets.
 SAMPLE = 64
 
@@ -218,25 +220,41 @@ def _split_hot(fps: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> Data
     return rows.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "fp")
 
 
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with the ``least`` of their a. A node of many edges would be a hot key
+    of the join; there are few such nodes, by count, so theirs is a broadcast join."""
+    many = max(HUB, 2 * n_edges * ROW_BYTES // BROADCAST_BYTES + 1)  # so at most BROADCAST_BYTES // ROW_BYTES nodes have more
+    hubs = F.broadcast(least.where(F.col("n") > many).select("a", F.col("least").alias("hub_least")))
+    rest = least.where(F.col("n") <= many).select("a", "least")
+    found = edges.join(hubs, "a", "left")
+    others = found.where("hub_least IS NULL").select("a", "b").join(rest, "a")
+    return found.where("hub_least IS NOT NULL").select("a", "b", F.col("hub_least").alias("least")).unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node a of ``edges`` (a > b) that isn't the least of its component, with that least b.
 
-    Alternating large and small stars; each round is a written table, and the driver sees one
-    count and one hash of it.
+    Alternating large and small stars; each round is a written table, which replaces the one
+    before, and the driver sees one count and one hash of it.
     """
-    edges = written(edges, "links")
-    seen = None
+    spark = edges.sparkSession
+    path = scratch_path(spark, "links")
+    edges = written(edges, "links", path)
+    n, seen = edges.count(), None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(low, "a").where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = written(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        large = _with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        # A node now has an edge for each star that it was in; the least of them takes the others on.
+        low = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        small = _with_least(large, low, 2 * n).where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        new = scratch_path(spark, "links")
+        edges = written(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), "links", new)
+        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        discard(spark, [path])
         if now == seen:
             return edges
-        seen = now
+        path, seen, n = new, now, now[0]
 
 
 def near_duplicates(rows: DataFrame, words: int = WORDS, bits: int | None = None) -> DataFrame:

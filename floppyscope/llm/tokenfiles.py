@@ -10,13 +10,15 @@ File layout, all integers little-endian:
     u64 documents, u64 ids, u64 blocks, magic
 
 A block's width is that which holds PERCENTILE of its offsets; the others are exceptions. The
-block starts let a reader decode any range of ids without what precedes it.
+block starts let a reader decode any range of ids without what precedes it. A file ends with
+the document that brings it to FILE_IDS ids or FILE_DOCS documents; then the next begins.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,12 @@ MAGIC = b"FPTOKEN1"
 BLOCK = 128
 PERCENTILE = 0.9
 END_ID = 2
-#: Ids that the writer holds before it packs them.
+#: Ids that the writer holds before it packs them, and that the reader decodes at once.
 HELD = 1 << 18
+READ_IDS = 1 << 20
+#: Ids and documents that close a file.
+FILE_IDS = 1 << 26
+FILE_DOCS = 1 << 20
 
 
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
@@ -131,87 +137,140 @@ class FileWriter:
         return len(null), self.ids
 
 
-def read_index(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Block starts, doc ids, their null flags, ends in ids, and the count of ids of a file."""
-    if data[-8:].tobytes() != MAGIC or data[:8].tobytes() != MAGIC:
+@dataclass(frozen=True)
+class Index:
+    """The index of a file: where blocks start (and the last ends), doc ids, whether each is null, ends in ids."""
+
+    starts: np.ndarray
+    doc_ids: np.ndarray
+    null: np.ndarray
+    ends: np.ndarray
+
+
+def read_index(source) -> Index:
+    """The index of an open file that can seek; its blocks aren't read."""
+    size = source.seek(0, 2)
+    source.seek(max(0, size - 32))
+    tail = source.read(32)
+    source.seek(0)
+    if len(tail) < 32 or tail[-8:] != MAGIC or source.read(8) != MAGIC:
         raise ValueError("not a token file, or not a whole one")
-    docs, ids, blocks = (int(v) for v in data[-32:-8].view("<u8"))
-    end = len(data) - 32
-    cut = [end - 8 * docs, end - 9 * docs, end - 17 * docs, end - 17 * docs - 8 * (blocks + 1)]
-    starts = np.frombuffer(data[cut[3] : cut[2]].tobytes(), "<u8").astype(np.int64)
-    doc_ids = np.frombuffer(data[cut[2] : cut[1]].tobytes(), "<i8")
-    ends = np.frombuffer(data[cut[0] : end].tobytes(), "<u8").astype(np.int64)
-    return starts, doc_ids, data[cut[1] : cut[0]].astype(bool), ends, ids
+    docs, _ids, blocks = (int(v) for v in np.frombuffer(tail[:24], "<u8"))
+    source.seek(size - 32 - 17 * docs - 8 * (blocks + 1))
+    starts, doc_ids, null, ends = (np.frombuffer(source.read(n * np.dtype(t).itemsize), t) for n, t in ((blocks + 1, "<u8"), (docs, "<i8"), (docs, "u1"), (docs, "<u8")))
+    return Index(starts.astype(np.int64), doc_ids, null.astype(bool), ends.astype(np.int64))
+
 
+def read_ids(source, index: Index, first: int, end: int) -> np.ndarray:
+    """The ids first .. end - 1 of an open file: only the blocks that hold them are read."""
+    a, b = first // BLOCK, -(-end // BLOCK)
+    source.seek(int(index.starts[a]))
+    data = np.frombuffer(source.read(int(index.starts[b] - index.starts[a])), np.uint8)
+    return decode_blocks(data, index.starts[a:b] - index.starts[a])[first - a * BLOCK : end - a * BLOCK]
 
-def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, fold: bool = False) -> list[tuple[int, int]]:
+
+WRITTEN = "part long, file long, docs long, ids long"
+
+
+def write_files(documents: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, fold: bool = False) -> list[tuple[str, int]]:
     """Writes the ids of all documents into files under ``folder``, in ascending order of
-    doc_id over the files (nulls first; equal ids by text). Returns (documents, ids) of each
-    file: one pair for each partition, whatever the count of documents.
+    doc_id over the files (nulls first; equal ids by the first HEAD characters of the text,
+    then by a hash of it). Returns each file's name and the count of ids before it.
 
     ``fold``: the vocabulary lower-cases and drops white space.
 
-    A task writes under a name of its attempt and renames at its end, so an attempt that is
-    lost or repeated leaves one whole file.
+    A task writes under names of its attempt and renames at the end of each file, so an attempt
+    that is lost or repeated leaves whole files: a task that runs again cuts its files alike.
     """
     from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/{context.partitionId():08d}.ids"
-        attempt = f"{root}/_{context.partitionId():08d}-{context.taskAttemptId()}"
         ids_of = encoder(vocabulary, fold)
-        with store.open_output_stream(attempt) as out:
-            writer = FileWriter(out)
-            for batch in batches:
-                docs = batch.column(0).to_pylist()
-                for first, ids, counts in ids_of.rows(batch.column(1)):
-                    ends = np.cumsum(counts)
-                    writer.add(docs[first : first + len(counts)], np.insert(ids, ends, end_id), counts + 1)
-            counted = writer.close()
-        store.move(attempt, name)
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "docs": [counted[0]], "ids": [counted[1]]})
+        part, file, out, writer = context.partitionId(), 0, None, None
+        attempt = f"{root}/_{part:08d}-{context.taskAttemptId()}"
+
+        def close() -> pa.RecordBatch:
+            docs, ids = writer.close()
+            out.close()
+            store.move(attempt, f"{root}/{file_name(part, file)}")
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "docs": [docs], "ids": [ids]})
+
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            for first, ids, counts in ids_of.rows(batch.column(1)):
+                ids, lengths = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                ends = np.cumsum(lengths)
+                a = 0
+                while a < len(lengths):
+                    if writer is None:
+                        out = store.open_output_stream(attempt)
+                        writer = FileWriter(out)
+                    before = int(ends[a - 1]) if a else 0
+                    room = FILE_IDS - writer.ids - writer.waiting
+                    b = min(int(np.searchsorted(ends, before + room)) + 1, len(lengths), a + FILE_DOCS - len(writer.doc_ids))
+                    writer.add(docs[first + a : first + b], ids[before : int(ends[b - 1])], lengths[a:b])
+                    if writer.ids + writer.waiting >= FILE_IDS or len(writer.doc_ids) >= FILE_DOCS:
+                        yield close()
+                        writer, file = None, file + 1
+                    a = b
+        if writer is not None:
+            yield close()
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = in_batches(ordered).mapInArrow(run, "part long, docs long, ids long").collect()  # a row for each file
-    sizes = {r["part"]: (r["docs"], r["ids"]) for r in done}
-    return [sizes.get(k, (0, 0)) for k in range(max(sizes, default=-1) + 1)]
+    # Ids alone would put all rows of one id, null among them, into one task.
+    rows = documents.select("doc_id", "text", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("key"))
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "head", "key")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    done = in_batches(ordered).mapInArrow(run, WRITTEN).collect()  # a row for each file of FILE_IDS ids
+    out, before = [], 0
+    for r in sorted(done, key=lambda r: (r["part"], r["file"])):
+        out.append((file_name(r["part"], r["file"]), before))
+        before += r["ids"]
+    return out
+
+
+#: Characters of the text that put rows of one id in order.
+HEAD = 64
+
+
+def file_name(part: int, file: int) -> str:
+    return f"{part:08d}-{file:06d}.ids"
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def read_files(spark: SparkSession, folder: str, sizes: list[tuple[int, int]]) -> DataFrame:
-    """One row per document of the files: its place among all ids, its count of ids and their crc32."""
-    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist() if sizes else [0]
+def read_files(spark: SparkSession, folder: str, files: list[tuple[str, int]]) -> DataFrame:
+    """One row per document of the files: its place among all ids, its count of ids and their
+    crc32. A task reads a file's index and then some blocks at a time, by their starts."""
+    from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(content.as_buffer(), np.uint8)
-                starts, doc_ids, null, ends, n = read_index(data)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-                base = before[int(path.rpartition("/")[2].partition(".")[0])]
-                # Runs of documents of some million ids at a time.
-                k = 0
-                while k < len(ends):
-                    last = max(k + 1, int(np.searchsorted(ends, begins[k] + (1 << 20), "right")))
-                    first = begins[k] // BLOCK
-                    ids = decode_blocks(data, starts[first : -(-int(ends[last - 1]) // BLOCK)]).astype("<u4", copy=False)
-                    raw = memoryview(ids.tobytes())
-                    o = first * BLOCK
-                    crc = [zlib.crc32(raw[4 * (a - o) : 4 * (b - o)]) for a, b in zip(begins[k:last].tolist(), ends[k:last].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[k:last], mask=null[k:last]), pa.array(base + begins[k:last]), pa.array(ends[k:last] - begins[k:last]), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    k = last
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
-    return files.select(F.col("path"), F.col("content")).mapInArrow(run, READ)
+            for name, before in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_file(f"{root}/{name}") as source:
+                    index = read_index(source)
+                    ends = index.ends
+                    begins = np.concatenate([[0], ends[:-1]])
+                    k = 0
+                    while k < len(ends):
+                        last = max(k + 1, int(np.searchsorted(ends, begins[k] + READ_IDS, "right")))
+                        a = int(begins[k])
+                        raw = memoryview(read_ids(source, index, a, int(ends[last - 1])).astype("<u4", copy=False).tobytes())
+                        crc = [zlib.crc32(raw[4 * (x - a) : 4 * (y - a)]) for x, y in zip(begins[k:last].tolist(), ends[k:last].tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(index.doc_ids[k:last], mask=index.null[k:last]), pa.array(before + begins[k:last]), pa.array(ends[k:last] - begins[k:last]), pa.array(crc, pa.int64())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
+                        k = last
+
+    names = spark.createDataFrame(files, "name string, before long")
+    # A task for each file, as far as tasks are worth their start.
+    return names.repartition(max(1, min(len(files), 10_000))).mapInArrow(run, READ)
 
 
 def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,5 +278,5 @@ def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = scratch_path(spark, "token-files")
-    sizes = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), fold=True)
-    return read_files(spark, folder, sizes)
+    files = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), fold=True)
+    return read_files(spark, folder, files)

@@ -326,15 +326,11 @@ def near_lines(a, b):
 
 
 def dedup_of(rows):
-    """rows: (doc_id, text, key); equal ones come out alike."""
+    """rows: (doc_id, text, key), read in the order of id and key: every line that was read before goes."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][2]))
-    first, out, done = {}, {}, {}
+    first, out = {}, {}
     for k in order:
         text = rows[k][1]
-        if rows[k] in done:
-            out[k] = out[done[rows[k]]]
-            continue
-        done[rows[k]] = k
         if text is None:
             out[k] = (None, 0, 0)
             continue
@@ -362,7 +358,7 @@ LINES = [
     (2, "A line of some length hero\nshorT\nA line of some length her\nA line of some length heeere"),
     (3, "xA line of some length here\nB line of some length here\n another one that stands alone here"),
     (4, None), (5, ""), (6, "\n\n"), (None, "A line of some length heRe\nnull id comes first, in a long line"), (7, "null id comes first, in a long line!"),
-    (7, "null id comes first, in a long line!"), (8, "z" * 3000 + "\n" + "z" * 2999 + "y\n" + "z" * 3001), (9, "日本語の長い行がここにありますのでどうぞ\n日本語の長い行がここにありますのでどうも\r"),
+    (7, "null id comes first, in a long line!"), (12, "twice the same text\n\nin equal rows"), (12, "twice the same text\n\nin equal rows"), (12, "twice the same text\n\nin equal rows"), (8, "z" * 3000 + "\n" + "z" * 2999 + "y\n" + "z" * 3001), (9, "日本語の長い行がここにありますのでどうぞ\n日本語の長い行がここにありますのでどうも\r"),
 ]
 
 
