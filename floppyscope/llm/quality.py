@@ -7,8 +7,11 @@ the fit, and documents are scored in Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import warnings
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -195,18 +198,27 @@ def fit_on_labels(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_F
     )
     schema = "doc_id long, content long, quality long, grams binary, times binary, sizes array<long>"
     features = written(in_batches(rows).mapInArrow(run, schema), "fit-counts")
-    keys = chosen.orderBy(*order).collect()
+    keys = [(r["doc_id"], r["content"], r["quality"]) for r in chosen.orderBy(*order).collect()]
     if not keys and not labels.isEmpty():
         warnings.warn("no label belongs to a document with text: every document gets the same score", stacklevel=2)
-    place: dict[tuple[int, int], list[int]] = {}
-    for i, r in enumerate(keys):
-        place.setdefault((r["doc_id"], r["content"]), []).append(i)
-    slots: list[Counted] = [[]] * len(keys)
-    for r in features.toLocalIterator():
-        at = place.get((r["doc_id"], r["content"]))
-        if at:
-            slots[at.pop()] = _unpacked(r["grams"], r["times"], r["sizes"])
-    return fit_counted(slots, [int(r["quality"] > 0) for r in keys])
+    left = Counter(key[:2] for key in keys)
+
+    def in_order() -> Iterator[Counted]:
+        for r in features.orderBy(*order).toLocalIterator():
+            key = (r["doc_id"], r["content"])
+            if left[key]:  # of equal rows as many as were chosen
+                left[key] -= 1
+                yield _unpacked(r["grams"], r["times"], r["sizes"])
+
+    model = fit_counted(in_order(), [int(key[2] > 0) for key in keys])
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Hands memory of the fit that is free back to the system, where the C library can do so."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _unpacked(grams: bytes, times: bytes, sizes: list[int]) -> Counted:
