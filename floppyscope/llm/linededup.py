@@ -37,18 +37,20 @@ def _segment_keys(line: Column, n: Column, segments: int) -> Column:
     If two lines are one edit apart and the shorter has m characters, cut at j m / segments,
     then what precedes some segment and what follows it are equal in both.
     """
-    keys = []
-    for less in (0, 1):
+
+    def key(less: int, j: Column) -> Column:
         m = n - less
-        for j in range(segments):
-            a, b = F.floor(m * j / segments).cast("int"), F.floor(m * (j + 1) / segments).cast("int")
-            parts = [m, F.lit(j)]
-            if j:
-                parts.append(F.substring(line, F.lit(1), a))
-            if j + 1 < segments:
-                parts.append(F.substring(line, n - m + b + 1, n))
-            keys.append(F.xxhash64(*parts))
-    return F.array(*keys)
+        a, b = F.floor(m * j / segments).cast("int"), F.floor(m * (j + 1) / segments).cast("int")
+        # xxhash64 passes over a null.
+        before = F.when(j > 0, F.substring(line, F.lit(1), a))
+        after = F.when(j + 1 < segments, F.substring(line, n - m + b + 1, n))
+        return F.xxhash64(m, j, before, after)
+
+    if segments <= 2:  # every line comes here: one expression for each key, compiled
+        return F.array(*(key(less, F.lit(j)) for less in (0, 1) for j in range(segments)))
+    # Few lines come here, and a plan of that many expressions costs the driver more.
+    each = F.sequence(F.lit(0), F.lit(segments - 1))
+    return F.concat(F.transform(each, lambda j: key(0, j)), F.transform(each, lambda j: key(1, j)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
