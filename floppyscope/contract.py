@@ -208,7 +208,7 @@ def locate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "journal_replay",
-    """SELECT k AS user_id, coalesce(v, 'none') AS event_type FROM range(0, 200) r(k) LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id) e ON e.user_id = r.k""",
+    """SELECT k AS user_id, coalesce(v, 'none') AS event_type FROM (SELECT unnest(range(0, greatest(200, (SELECT coalesce(max(user_id), 0) + 1 FROM events)))) AS k) r LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id) e ON e.user_id = r.k""",
 )
 def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -437,10 +437,10 @@ def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "control_safe",
-    """SELECT doc_id, translate(text[:60], chr(10) || '/:*?"<>|' || chr(92), chr(9226) || '_________') AS safe FROM documents""",
+    f"""SELECT doc_id, translate(text, {' || '.join(f'chr({c})' for c in (*range(1, 32), 127))} || '/:*?"<>|' || chr(92), {' || '.join(f'chr({0x2400 + c})' for c in range(1, 32))} || chr(9249) || '________') AS safe FROM documents""",
 )
 def control_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", names.safe_component(F.substring("text", 1, 60)).alias("safe"))
+    return table(spark, sf_dir, "documents").select("doc_id", names.safe_component("text").alias("safe"))
 
 
 @query(
@@ -631,18 +631,18 @@ def fcb_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "volume_paths",
     r"""WITH p AS (SELECT page_id, 'P' || (page_id % 5) || '/' || regexp_extract(url, '[^/]*$') AS path FROM pages)
-       SELECT page_id, regexp_extract(path, '^P([0-9]+)/(.*)$', 1)::INT AS n, regexp_extract(path, '^P([0-9]+)/(.*)$', 2) AS rest FROM p WHERE page_id % 5 > 0""",
+       SELECT page_id, CASE WHEN page_id % 5 > 0 THEN regexp_extract(path, '^P([0-9]+)/(.*)$', 1)::INT END AS n, CASE WHEN page_id % 5 > 0 THEN regexp_extract(path, '^P([0-9]+)/(.*)$', 2) END AS rest FROM p""",
 )
 def volume_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("P"), (F.col("page_id") % 5).cast("string"), F.lit("/"), F.regexp_extract("url", "[^/]*$", 0))
     found = table(spark, sf_dir, "pages").select("page_id", content.volume_of_path(path).alias("v"))
-    return found.where("v IS NOT NULL").select("page_id", "v.n", "v.rest")
+    return found.select("page_id", "v.n", "v.rest")  # P0 names no volume: null
 
 
 _NAMES = ["80", "41B142", "E986", "C1", "07410A7F"]
 
 
-@query("charset_decode", "SELECT * FROM (VALUES (0, 'Ç', '─'), (1, 'A▒B', 'A╠B'), (2, 'Θå', 'И├'), (3, '┴', 'а'), (4, chr(7) || 'A' || chr(10) || chr(127), chr(7) || 'A' || chr(10) || chr(127))) t(id, international, russian)")
+@query("charset_decode", "SELECT * FROM (VALUES (0, 'Ç', '▂'), (1, 'AãB', 'A±B'), (2, 'Θå', 'И▎'), (3, '▚', 'а'), (4, chr(7) || 'A' || chr(10) || chr(127), chr(7) || 'A' || chr(10) || chr(127))) t(id, international, russian)")
 def charset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _hex_rows(spark, _NAMES).select("id", charsets.name_of_bytes("data").alias("name"))
     return rows.select("id", charsets.shown_name("name", "International").alias("international"), charsets.shown_name("name", "Russian").alias("russian"))

@@ -1,9 +1,7 @@
-"""Character sets of file names and texts, made by rule from published code pages.
+"""Character sets of file names and texts: six sets of the machine's models, of 128 characters each.
 
-International is the PC's first code page and Russian is KOI8-R, which the machine's sets follow
-for letters; Japanese has half-width katakana at A1 to DF and hiragana at 86 to 9F and E0 to FD
-in the order of the katakana. FF is the cursor block in all. A set that differs in its graphics
-is given by the caller as 128 characters.
+A cell that no machine defines is U+FFFD. FF is the cursor block in all. Another set is given by
+the caller as 128 characters.
 """
 
 from __future__ import annotations
@@ -21,29 +19,51 @@ BLOCK = "█"
 CONTROL_EFFECTS = {0x07: "beep", 0x08: "cursor left", 0x09: "tab", 0x0A: "line feed", 0x0B: "home", 0x0C: "clear screen", 0x0D: "carriage return", 0x1B: "escape sequence", 0x1C: "cursor right", 0x1D: "cursor left", 0x1E: "cursor up", 0x1F: "cursor down", 0x7F: "delete"}
 
 
-def _japanese() -> str:
-    out = ["�"] * 128
-    for b in range(0xA1, 0xE0):
-        out[b - 0x80] = chr(0xFF61 + b - 0xA1)
-    # The half-width order from ｦ to ﾝ, as the hiragana of the same sounds.
-    small = [0x3092, 0x3041, 0x3043, 0x3045, 0x3047, 0x3049, 0x3083, 0x3085, 0x3087, 0x3063]
-    first = [0x3042, 0x3044, 0x3046, 0x3048, 0x304A, *range(0x304B, 0x3055, 2), *range(0x3055, 0x305F, 2)]
-    rest = [0x305F, 0x3061, 0x3064, 0x3066, 0x3068, *range(0x306A, 0x306F), *range(0x306F, 0x307E, 3), *range(0x307E, 0x3083), 0x3084, 0x3086, 0x3088, *range(0x3089, 0x308E), 0x308F, 0x3093]
-    for b, c in zip(range(0x86, 0x90), small):
-        out[b - 0x80] = chr(c)
-    for b, c in zip(range(0x91, 0xA0), first):
-        out[b - 0x80] = chr(c)
-    for b, c in zip(range(0xE0, 0xFE), rest):
-        out[b - 0x80] = chr(c)
-    out[-1] = BLOCK
-    return "".join(out)
-
-
-def _page(codec: str) -> str:
-    return bytes(range(0x80, 0xFF)).decode(codec) + BLOCK
-
-
-SETS = {"International": _page("cp437"), "Russian": _page("koi8_r"), "Japanese": _japanese()}
+# What the machines show for the bytes from 80 on, sixteen a line. These lines are
+# parts of more than one set.
+_WESTERN = "ÉæÆôöòûùÿÖÜ¢£¥"
+_MARKS = "áíóúñÑªº¿⌐¬½¼¡«»"
+_GRAPHICS = "▂▚▆🮂▬🮅▎▞▊🮇🮊🮙🮘🭭🭯🭬" "🭮🮚🮛▘▗▝▖🮖Δ‡ω█▄▌▐▀"
+_GREEK = "αßΓπΣσµτΦΘΩδ∞{}∈∩" "≡±≥≤⌠⌡÷≈°∙·√ⁿ²■"
+
+_INTERNATIONAL = "ÇüéâäàåçêëèïîìÄÅ" + _WESTERN + "₧ƒ" + _MARKS + "ÃãĨĩÕõŰűĲĳ¾∽◊‰¶§" + _GRAPHICS + _GREEK.format("⌀") + BLOCK
+_BRAZILIAN = "ÇüéâÁà¨çêÍÓÚÂÊÔÀ" + _WESTERN + "₢ƒ" + _MARKS + "ÃãĨĩÕõŨũĲĳ¾∽◇‰¶§" + _GRAPHICS + _GREEK.format("∅") + BLOCK
+_RUSSIAN = _GRAPHICS + _GREEK.format("∅") + "¤" + "юабцдефгхийклмно" "пярстужвьызшэщчъ" "ЮАБЦДЕФГХИЙКЛМНО" "ПЯРСТУЖВЬЫЗШЭЩЧ" + BLOCK
+_JAPANESE = (
+    "♠♥♣♦○●をぁぃぅぇぉゃゅょっ"
+    "�あいうえおかきくけこさしすせそ"
+    "�｡｢｣､･ｦｧｨｩｪｫｬｭｮｯ"
+    "ｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿ"
+    "ﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏ"
+    "ﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ"
+    "たちつてとなにぬねのはひふへほま"
+    "みむめもやゆよらりるれろわん�"
+) + BLOCK
+_KOREAN = (
+    "♠♥♣♦○●ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅ"
+    "ㅆㅇㅈㅉㅊㅋㅌㅍㅎㅏㅐㅑㅒㅓㅔㅕ"
+    "ㅖㅗㅛㅜㅠㅡㅣ고교구규그꼬꾜꾸뀨"
+    "끄노뇨누뉴느도됴두듀드또뚀뚜뜌뜨"
+    "로료루류르모묘무뮤므보뵤부뷰브뽀"
+    "뾰뿌쀼쁘소쇼수슈스쏘쑈쑤쓔쓰오요"
+    "우유으조죠주쥬즈쪼쬬쭈쮸쯔초쵸추"
+    "츄츠코쿄쿠큐크토툐투튜트���"
+) + BLOCK
+# Code points, since marks that combine and letters that run from the right can't be read in a line.
+_ARABIC = "".join(
+    chr(int(c, 16))
+    for c in (
+        "FFFD FFFD FFFD FFFD FFFD 066A FFFD FFFD FFFD FFFD FFFD FFFD 060C FFFD FFFD FFFD "
+        "0660 0661 0662 0663 0664 0665 0666 0667 0668 0669 FFFD 061B FFFD FFFD FFFD 061F "
+        "FFFD FE8C 0626 FE92 0628 FE98 062A FE9C 062B FEA0 062C FEA4 062D FEA8 062E FEB4 "
+        "0633 FEB8 0634 FEBC 0635 FEC0 0636 0637 0638 FECB 0639 FFFD FFFD FFFD FFFD FFFD "
+        "FECC FECA FECF 063A FED0 FECE FED4 0641 FED8 0642 FEDC 0643 FEE0 0644 FEE4 0645 "
+        "FEE8 0646 FEEC 0647 FEF4 064A FEF2 0622 FE82 0623 FE84 FFFD FFFD FFFD FFFD 0624 "
+        "0625 FE88 0627 FE8E 0629 062F 0630 0631 0632 0648 0649 FEF0 FEFC FEF8 FEF6 FEFA "
+        "0621 0640 064B 064C 064D 064E FE77 064F FE79 0650 FE7B 0651 FE7D 0652 FE7F 2588"
+    ).split()
+)
+SETS = {"International": _INTERNATIONAL, "Japanese": _JAPANESE, "Russian": _RUSSIAN, "Korean": _KOREAN, "Arabic": _ARABIC, "Brazilian": _BRAZILIAN}
 
 
 def high_half(charset: str) -> str:
@@ -88,6 +108,30 @@ def text_of(data: Column | str, charset: str) -> Column:
     return F.translate(F.decode(col(data), "ISO-8859-1"), "".join(map(chr, range(0x80, 0x100))), high_half(charset))
 
 
+#: Columns between tab stops.
+TAB_STOP = 8
+
+
+def text_view(data: Column | str, charset: str, show_all: bool = False) -> Column:
+    """Bytes as the lines of a text view: CR, LF and both together end a line, a tab goes on to
+    the next stop, other control characters are dots (or themselves with ``show_all``), and
+    bytes from 80 on are characters of the set."""
+    text = F.regexp_replace(text_of(data, charset), "\\r\\n?", "\n")
+    if not show_all:
+        text = F.regexp_replace(text, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", ".")
+
+    def step(line: Column, cell: Column) -> Column:
+        # A cell is what stands between tabs; all but the last are filled up to the next stop.
+        return F.concat(line, F.rpad(cell, F.char_length(cell) + TAB_STOP - (F.char_length(line) + F.char_length(cell)) % TAB_STOP, " "))
+
+    def spread(line: Column) -> Column:
+        cells = F.split(line, "\t", -1)
+        filled = F.aggregate(F.slice(cells, 1, F.size(cells) - 1), F.lit(""), step)
+        return F.concat(filled, F.element_at(cells, -1))
+
+    return F.array_join(F.transform(F.split(text, "\n", -1), spread), "\n")
+
+
 def control_effects(name: Column | str) -> Column:
     """(code, effect) of the distinct control characters of a name, ascending."""
     codes = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(col(name), "", -1), lambda c: c.rlike("^[\\x00-\\x1F\\x7F]$")), lambda c: F.ascii(c))))

@@ -67,7 +67,7 @@ def last_before(probes: DataFrame, marks: DataFrame, time: str, tie: str, carry:
         marks.select(time, tie, F.col(carry).alias("mark"), F.lit(False).alias("probe"))
     )
     bucket = F.floor(_micros(time) / F.lit(86_400_000_000)).alias("bucket")
-    both = both.select("*", bucket)
+    both = both.select("*", bucket).where("probe OR bucket IS NOT NULL")
     # The mark comes before a probe of the same time and tie.
     place = [F.col(time), F.col("probe"), F.col(tie)]
     ends = both.where(~F.col("probe")).groupBy("bucket").agg(F.max_by("mark", F.struct(time, tie)).alias("end"))
@@ -75,8 +75,10 @@ def last_before(probes: DataFrame, marks: DataFrame, time: str, tie: str, carry:
     carried = F.last("end", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     buckets = buckets.select("bucket", carried.alias("before"))  # a row per day
     swept = F.last("mark", ignorenulls=True).over(Window.partitionBy("bucket").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("found", swept).where("probe").join(buckets, "bucket")
-    return out.select(time, tie, F.coalesce("found", "before").alias(carry))
+    # Probes without a time have no range, and no mark before them; they stay.
+    timeless = both.where("bucket IS NULL").select(time, tie, F.col("mark").alias(carry))
+    out = both.where("bucket IS NOT NULL").withColumn("found", swept).where("probe").join(buckets, "bucket")
+    return out.select(time, tie, F.coalesce("found", "before").alias(carry)).unionByName(timeless)
 
 
 def replay(journal: DataFrame, key: str, order: str, value: str, first: int, end: int, missing: Column) -> DataFrame:

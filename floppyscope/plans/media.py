@@ -30,6 +30,10 @@ DESCRIPTIONS = {
     "sc2": "SCREEN 2 picture", "sc3": "SCREEN 3 picture", "sc4": "SCREEN 4 picture", "sc5": "SCREEN 5 picture", "sc6": "SCREEN 6 picture", "sc7": "SCREEN 7 picture", "sc8": "SCREEN 8 picture", "sca": "SCREEN 10 picture",
     "scc": "SCREEN 12 picture", "sng": "SCC-Musixx music", "sri": "Interlaced SCREEN 7 picture", "srs": "SCREEN 12 picture", "stp": "Dynamic Publisher stamp", "sys": "System file", "tsx": "Cassette image", "txt": "Text",
     "xsa": "Packed disk image", "zip": "Zip archive",
+    "arc": "ARC archive", "arj": "ARJ archive", "bmp": "Bitmap picture", "btm": "MSX-DOS 2 batch file", "ds1": "Disk image, first side", "ds2": "Disk image, second side", "exe": "SymbOS program", "gen": "GEN80 assembler source",
+    "gif": "GIF picture", "gz": "Gzip file", "inc": "Assembler include file", "ips": "Patch", "ish": "Binary as text", "jpg": "JPEG picture", "kss": "Music with its player", "ldr": "BASIC loader", "max": "Maki-chan picture",
+    "mbs": "MoonBlaster sample", "mbv": "MoonBlaster voices", "mbw": "MoonBlaster wave music", "mdx": "X68000 music", "meg": "MegaAssembler source or image", "mgs": "MGSDRV music", "mp3": "MP3 sound", "opx": "OPLL music",
+    "pac": "Cartridge memory", "prn": "Assembler listing", "s3m": "ScreamTracker module", "sc0": "SCREEN 0 picture", "sc1": "SCREEN 1 picture", "tsr": "Resident program", "vgm": "Logged music", "wav": "Sampled sound", "xm": "FastTracker module",
 }
 
 VOLUMES = (

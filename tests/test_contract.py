@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import floppyscope.format_queries  # noqa: F401
 import floppyscope.media_queries  # noqa: F401
 from floppyscope import contract
 
@@ -59,3 +60,12 @@ def test_journal_replay_keeps_every_user(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["user_id"]: r["event_type"] for r in contract.QUERIES["journal_replay"](spark, str(tmp_path)).collect()}
     assert got == dict.fromkeys(range(951), "none") | {0: "e0", 3: "e1", 199: "e2", 200: "e4", 950: "e5"}
+
+
+def test_last_before_keeps_probes_without_a_time(spark):
+    from floppyscope.operators.relational import last_before
+
+    probes = spark.sql("SELECT * FROM VALUES (TIMESTAMP'2024-01-02 00:00:00', 1L), (NULL, 2L), (TIMESTAMP'2023-01-01 00:00:00', 3L) AS t(ts, id)")
+    marks = spark.sql("SELECT * FROM VALUES (TIMESTAMP'2024-01-01 00:00:00', 9L, 'm'), (NULL, 8L, 'n') AS t(ts, id, name)")
+    got = {r["id"]: r["name"] for r in last_before(probes, marks, "ts", "id", "name").collect()}
+    assert got == {1: "m", 2: None, 3: None}
