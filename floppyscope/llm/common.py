@@ -209,20 +209,33 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether ``lengths`` bytes of ``data`` from ``starts`` equal those of ``other`` from ``at``, for each span."""
+    """Whether ``lengths`` bytes of ``data`` from ``starts`` equal those of ``other`` from ``at``,
+    for each span. The spans of ``data`` stand in order and don't overlap."""
     out = np.ones(len(starts), bool)
     ends = np.cumsum(lengths)
     a = 0
     while a < len(starts):  # some megabytes at a time
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WIDE_BYTES, "right")))
         n = lengths[a:b]
-        unlike = np.flatnonzero(data[ragged(starts[a:b], n)] != other[ragged(at[a:b], n)])
+        unlike = np.flatnonzero(_joined(data, starts[a:b], n) != other[ragged(at[a:b], n)])
         if len(unlike):
             out[a + np.searchsorted(np.cumsum(n), unlike, "right")] = False
         a = b
     return out
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of spans that stand in order: a view of ``data``, less what lies between them."""
+    ends = starts + lengths
+    view = data[starts[0] : ends[-1]]
+    gaps = starts[1:] - ends[:-1]
+    if not gaps.any():
+        return view
+    kept = np.ones(len(view), bool)
+    kept[ragged(ends[:-1] - starts[0], gaps)] = False
+    return view[kept]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start .. start + length - 1 of every span, one after the other."""
     total = int(lengths.sum())
