@@ -224,9 +224,11 @@ def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """``edges`` (a, b) with the ``least`` of their a. A node of many edges would be a hot key
     of the join; there are few such nodes, by count, so theirs is a broadcast join."""
     many = max(HUB, 2 * n_edges * ROW_BYTES // BROADCAST_BYTES + 1)  # so at most BROADCAST_BYTES // ROW_BYTES nodes have more
-    hubs = F.broadcast(least.where(F.col("n") > many).select("a", F.col("least").alias("hub_least")))
+    hubs = least.where(F.col("n") > many).select("a", F.col("least").alias("hub_least"))
+    if hubs.isEmpty():
+        return edges.join(least.select("a", "least"), "a")
     rest = least.where(F.col("n") <= many).select("a", "least")
-    found = edges.join(hubs, "a", "left")
+    found = edges.join(F.broadcast(hubs), "a", "left")
     others = found.where("hub_least IS NULL").select("a", "b").join(rest, "a")
     return found.where("hub_least IS NOT NULL").select("a", "b", F.col("hub_least").alias("least")).unionByName(others)
 
@@ -234,27 +236,34 @@ def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node a of ``edges`` (a > b) that isn't the least of its component, with that least b.
 
-    Alternating large and small stars; each round is a written table, which replaces the one
-    before, and the driver sees one count and one hash of it.
+    Alternating large and small stars. Each half of a round is a written table, and so are the
+    least neighbours that it joins: as one plan a round would read its edges some sixty times.
+    A round's tables replace those of the one before, and the driver sees one count and one
+    hash of them.
     """
     spark = edges.sparkSession
     path = scratch_path(spark, "links")
     edges = written(edges, "links", path)
-    n, seen = edges.count(), None
+    n, seen, last = edges.count(), None, [path]
+
+    def least_of(stars: DataFrame) -> DataFrame:
+        return stars.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+
     while True:
+        paths = [scratch_path(spark, "links") for _ in range(4)]
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        least = written(least_of(both), "least", paths[0])
         large = _with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        large = written(large, "large-stars", paths[1])
         # A node now has an edge for each star that it was in; the least of them takes the others on.
-        low = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        low = written(least_of(large), "low", paths[2])
         small = _with_least(large, low, 2 * n).where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        new = scratch_path(spark, "links")
-        edges = written(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), "links", new)
+        edges = written(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), "links", paths[3])
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        discard(spark, [path])
+        discard(spark, last + paths[:3])
         if now == seen:
             return edges
-        path, seen, n = new, now, now[0]
+        last, seen, n = paths[3:], now, now[0]
 
 
 def near_duplicates(rows: DataFrame, words: int = WORDS, bits: int | None = None) -> DataFrame:
