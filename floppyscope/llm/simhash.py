@@ -221,8 +221,11 @@ def _split_hot(fps: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """``edges`` (a, b) with the ``least`` of their a. A node of many edges would be a hot key
-    of the join; there are few such nodes, by count, so theirs is a broadcast join."""
+    """``edges`` (a, b) with the ``least`` of their a, a broadcast join as long as few nodes are left.
+    Beyond that a node of many edges would be a hot key of the join; there are few such nodes, by
+    count, so theirs is a broadcast join still."""
+    if least.count() <= BROADCAST_BYTES // ROW_BYTES:
+        return edges.join(F.broadcast(least.select("a", "least")), "a")
     many = max(HUB, 2 * n_edges * ROW_BYTES // BROADCAST_BYTES + 1)  # so at most BROADCAST_BYTES // ROW_BYTES nodes have more
     hubs = least.where(F.col("n") > many).select("a", F.col("least").alias("hub_least"))
     if hubs.isEmpty():
@@ -253,9 +256,9 @@ def components(edges: DataFrame) -> DataFrame:
         paths = [scratch_path(spark, "links") for _ in range(4)]
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(least_of(both), "least", paths[0])
-        large = _with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        large = _with_least(both.where("b > a"), least, 2 * n).select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
         large = written(large, "large-stars", paths[1])
-        # A node now has an edge for each star that it was in; the least of them takes the others on.
+        # A node now has an edge for each star that it was in, equal ones among them; the least of them takes the others on.
         low = written(least_of(large), "low", paths[2])
         small = _with_least(large, low, 2 * n).where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         edges = written(small.unionByName(low.select("a", F.col("least").alias("b"))).distinct(), "links", paths[3])

@@ -332,7 +332,10 @@ def test_dedup_min_chars(spark):
 # ---------------------------------------------------------------- components
 
 
-def test_components_with_hubs(spark):
+@pytest.mark.parametrize("nodes", [100, 1 << 18])
+def test_components_with_hubs(spark, monkeypatch, nodes):
+    """With fewer nodes broadcast than there are, so that hubs and others are joined apart, and with more."""
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", nodes * simhash.ROW_BYTES)
     star = [(k, 0) for k in range(1, 400)] + [(1000 + k, k) for k in range(300, 600)] + [(5001, 5000)]
     edges = spark.createDataFrame(star, "a long, b long")
     got = {r["a"]: r["b"] for r in simhash.components(edges).collect()}
