@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floppyscope.functions import binary, charsets, content, disk, names
+from floppyscope.functions import binary, charsets, content, disk, names, timing
 from floppyscope.operators import relational as ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,6 +679,10 @@ def free_host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("throttle", "SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 86400000000 AS due FROM events")
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", (micros - before >= 86_400_000_000).alias("due"))
+    return table(spark, sf_dir, "events").select("event_id", timing.due("user_id", "ts", "event_id", 86_400).alias("due"))
+
+
+@query("hold_rates", "SELECT doc_id, CASE WHEN held < 0.35::DOUBLE THEN 0 ELSE 20 + 130 * least(greatest((held - 0.35::DOUBLE) / 2, 0), 1) END::DOUBLE AS rate FROM (SELECT doc_id, n_chars % 400 / 128::DOUBLE AS held FROM documents)")
+def hold_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.col("n_chars") % 400 / F.lit(128.0)
+    return table(spark, sf_dir, "documents").select("doc_id", timing.hold_rate(held).alias("rate"))

@@ -2,7 +2,7 @@ import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
-from floppyscope.functions import basic, binary, content, disasm, disk, names
+from floppyscope.functions import basic, binary, content, disasm, disk, names, timing
 
 
 def one(spark, column):
@@ -161,3 +161,8 @@ def test_hex_rows(spark):
     rows = hex_rows(data, "id", "data", 8, base=0x100, group=2).collect()
     assert [(r["address"], r["bytes"], r["shown"]) for r in rows] == [("000100", "4142 4300 1122 3344", 'ABC.."3D')]
     assert hex_rows(data, "id", "data", 3, decimal=True).orderBy("offset").collect()[-1]["address"] == "000006"
+
+
+def test_hold_rate(spark):
+    shown = [one(spark, timing.hold_rate(F.lit(v).cast("double"))) for v in (0.0, 0.34, 0.35, 1.35, 2.35, 60.0, None)]
+    assert shown == [0.0, 0.0, 20.0, 85.0, 150.0, 150.0, None]
