@@ -227,3 +227,9 @@ def boot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     disk[21], disk[510:512] = 0xF9, b"\x55\xaa"
     out = fatfs.install_boot_block(bytes(disk), b"\xeb" * 512, 0x12345678)
     return rows_of(spark, "id int, jump string, layout string, serial string, mark string", [(0, out[:1].hex().upper(), out[21:22].hex().upper(), out[0x27:0x2B].hex().upper(), out[510:512].hex().upper())])
+
+
+@query("capped_listings", "SELECT * FROM (VALUES (0, 65536, 65537, true), (1, 65536, 65536, false), (2, 0, 0, false), (3, NULL, NULL, NULL)) t(id, shown, size, cut)")
+def capped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rows_of(spark, "id int, data binary", [(0, bytearray(65537)), (1, bytearray(65536)), (2, bytearray()), (3, None)])
+    return rows.select("id", content.capped("data").alias("c")).select("id", F.length("c.shown").alias("shown"), "c.size", "c.cut")

@@ -98,3 +98,13 @@ def volume_of_path(path: Column | str, letters: str = "PD") -> Column:
     pattern = f"^[{letters}{letters.lower()}]([0-9]{{1,9}})(?:/(.*))?$"
     number = F.regexp_extract(col(path), pattern, 1)
     return F.when((number != "") & (number.rlike("[1-9]")), F.struct(number.cast("int").alias("n"), F.regexp_extract(col(path), pattern, 2).alias("rest")))
+
+
+#: Bytes of code that a listing shows: the processor's whole address space.
+LISTED_CODE = 64 * 1024
+
+
+def capped(data: Column | str, cap: int = LISTED_CODE) -> Column:
+    """(shown, size, cut): the first ``cap`` bytes for a listing, the whole size, and whether more follow."""
+    size = F.length(col(data))
+    return F.struct(F.substring(col(data), 1, cap).alias("shown"), size.alias("size"), (size > cap).alias("cut"))
