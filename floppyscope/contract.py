@@ -203,7 +203,7 @@ def sector_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
     marks = events.where("event_type = 'signup'").select("ts", "event_id", F.col("event_id").alias("signup"))
-    return ops.last_before(events, marks, "ts", "event_id", "signup").select("event_id", "signup")
+    return ops.last_before(events, marks, "ts", "event_id", "signup", timeless_last=True).select("event_id", "signup")
 
 
 @query(

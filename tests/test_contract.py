@@ -69,3 +69,14 @@ def test_last_before_keeps_probes_without_a_time(spark):
     marks = spark.sql("SELECT * FROM VALUES (TIMESTAMP'2024-01-01 00:00:00', 9L, 'm'), (NULL, 8L, 'n') AS t(ts, id, name)")
     got = {r["id"]: r["name"] for r in last_before(probes, marks, "ts", "id", "name").collect()}
     assert got == {1: "m", 2: None, 3: None}
+
+
+def test_locate_asof_orders_equal_times_by_id(spark, tmp_path):
+    at = [None, "2024-01-01 00:00:00", "2024-01-01 23:59:59", "2024-01-03 00:00:00"]
+    rows = [(i, at[i * 7 % 11 % 4], "signup" if i * 5 % 13 % 3 == 0 else "click") for i in range(48)] + [(None, t, "signup") for t in at] + [(None, at[1], "click"), (7, at[2], "signup"), (7, at[2], "click"), (60, at[3], None)]
+    spark.createDataFrame(rows, "event_id long, at string, event_type string").selectExpr("event_id", "CAST(at AS TIMESTAMP) AS ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in contract.QUERIES["locate_asof"](spark, str(tmp_path)).select("event_id", "signup").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(contract.ORACLE_SQL["locate_asof"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
