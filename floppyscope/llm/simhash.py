@@ -109,61 +109,69 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
             label = up
 
 
-def _near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y) <= bits
+def _near(x: np.ndarray, y: np.ndarray, bits: int, words: bool = False) -> np.ndarray:
+    """Whether fingerprints are at most ``bits`` apart; ``words``: the first axis holds the words of each."""
+    n = np.bitwise_count(x ^ y)
+    return (n.sum(0, dtype=np.uint16) if words else n) <= bits
 
 
 def link_large(fp: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
     """Roots of one large bucket. A few pivots gather what lies around them; only members
-    outside the largest gathering are then compared with all others, block by block."""
-    n = len(fp)
+    outside the largest gathering are then compared with all others, block by block.
+    The last axis of ``fp`` is the members; fingerprints of several words have one before it."""
+    n, words = fp.shape[-1], fp.ndim > 1
     label = np.arange(n)
     for p in range(8):
         out = np.flatnonzero(label != np.bincount(label).argmax()) if p else np.arange(n)
         if not len(out):
             return label
         pivot = out[len(out) // 2]
-        near = np.flatnonzero(_near(fp, fp[pivot], bits))
+        near = np.flatnonzero(_near(fp, fp[..., pivot, None], bits, words))
         label = _roots(n, np.full(len(near), pivot), near, label)
     out = np.flatnonzero(label != np.bincount(label).argmax())
-    step = max(1, (1 << 21) // n)
+    step = max(1, (1 << 21) // fp.size)
     for k in range(0, len(out), step):
         some = out[k : k + step]
-        i, j = np.nonzero(_near(fp[some, None], fp[None, :], bits))
+        i, j = np.nonzero(_near(fp[..., some, None], fp[..., None, :], bits, words))
         label = _roots(n, some[i], j, label)
     return label
 
 
-def link_buckets(key: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, fp) that span the components of every bucket; ``key`` is sorted."""
+def link_members(key: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places (child, root) that span the components of every bucket; ``key`` is sorted."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(first)
     out_a, out_b = [], []
     many = size > 1
-    small = np.repeat(many & (size <= SMALL), size)
-    k, f = key[small], fp[small]
-    label = np.arange(len(f))
-    at = np.arange(len(f))
+    small = np.flatnonzero(np.repeat(many & (size <= SMALL), size))
+    k, f = key[small], fp[..., small]
+    label = np.arange(len(k))
+    at = np.arange(len(k))
     for d in range(1, SMALL):
-        at = at[at < len(f) - d]
+        at = at[at < len(k) - d]
         at = at[k[at] == k[at + d]]
         if not len(at):
             break
-        near = at[_near(f[at], f[at + d], bits)]
+        near = at[_near(f[..., at], f[..., at + d], bits, fp.ndim > 1)]
         if len(near):
-            label = _roots(len(f), near, near + d, label)
-    child = np.flatnonzero(label != np.arange(len(f)))
-    out_a.append(f[child])
-    out_b.append(f[label[child]])
+            label = _roots(len(k), near, near + d, label)
+    child = np.flatnonzero(label != np.arange(len(k)))
+    out_a.append(small[child])
+    out_b.append(small[label[child]])
     for b in np.flatnonzero(size > SMALL).tolist():
-        f = fp[first[b] : first[b + 1]]
-        label = link_large(f, bits)
-        child = np.flatnonzero(label != np.arange(len(f)))
-        out_a.append(f[child])
-        out_b.append(f[label[child]])
+        label = link_large(fp[..., first[b] : first[b + 1]], bits)
+        child = np.flatnonzero(label != np.arange(len(label)))
+        out_a.append(first[b] + child)
+        out_b.append(first[b] + label[child])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def link_buckets(key: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, fp) that span the components of every bucket; ``key`` is sorted."""
+    child, root = link_members(key, fp, bits)
+    return fp[child], fp[root]
+
+
 def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b), a > b, whose components are those of all fingerprints at most ``bits`` apart."""
     if bits > MAX_BITS:
@@ -204,20 +212,20 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
 
 
-def _split_hot(fps: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The index of ``fps``, in which a row of a hot bucket goes to every pair of blocks that
+def _split_hot(fps: DataFrame, spread: Callable[[DataFrame], DataFrame], fp: str = "fp", others: tuple[str, ...] = ()) -> DataFrame:
+    """The index (key, ``fp``, ``others``) of ``fps``, in which a row of a hot bucket goes to every pair of blocks that
     holds its own. Any two rows of a bucket still meet, so a sample may tell what is hot."""
-    some = spread(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
+    some = spread(fps.where(F.pmod(F.xxhash64(fp), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
     hot = written(some.where(F.col("n") * SAMPLE > HOT).select("key", F.ceil(F.col("n") * SAMPLE / HOT).cast("int").alias("blocks")), "hot-buckets")
     keyed = spread(fps)
     if hot.isEmpty():
         return keyed
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(fp, F.lit(1)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
     part = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(pairs)).alias("part")
-    rows = keyed.join(small(hot), "key", "left").select("key", "fp", part)
+    rows = keyed.join(small(hot), "key", "left").select("key", fp, *others, part)
     # Two keys that fall together by chance are compared more, and nothing else.
-    return rows.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "fp")
+    return rows.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), fp, *others)
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from floppyscope.llm import linededup, lm, pii, quality, simhash, tokenfiles
+from floppyscope.llm import linededup, lm, pii, quality, simhash, similar, tokenfiles
 from floppyscope.llm.common import mix, row_key, scratch_path, string_chunks
 from floppyscope.llm.decontaminate import decontaminate
 from floppyscope.llm.linededup import MIN_CHARS, dedup
@@ -273,6 +273,71 @@ def test_components_of_a_long_chain(spark):
     assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(1, 300)}
 
 
+def test_similar_takes_simhash_of_distinct_shingles():
+    rnd = random.Random(3)
+    sets = [[rnd.getrandbits(64) for _ in range(n)] for n in (1, 0, 4, 5, 255, 256, 2000, 0)]
+    h, bounds = np.array([x for s in sets for x in s], np.uint64), np.cumsum([0, *map(len, sets)])
+    _key, prints = similar.signatures(h, bounds)
+    assert [len(p) for p in prints] == [22, 0, 23, 27, 22, 22, 22, 0]
+    assert prints[2][22] == _key[2] and similar.signatures(np.array(sets[3][1:], np.uint64), np.array([0, 4]))[0] in prints[3][22:]
+    for s, words in zip(sets, prints):
+        hashed = [mix((np.array(s, np.uint64) ^ similar._KEYS[0, k]) * (similar._KEYS[1, k] | np.uint64(1))).tolist() for k in range(22 if s else 0)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in word) > len(s)) for word in hashed]
+        assert words[:22].tolist() == want
+        if s:
+            whole = sum(w << 64 * k for k, w in enumerate(want))
+            assert similar.segments(words[None, :22])[0].tolist() == [whole >> 20 * k & (1 << 20) - 1 for k in range(70)]
+
+
+def test_similar_links_segments_with_one_bit_off():
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(1408) for _ in range(4)]
+    prints = []
+    for i in range(240):
+        x = base[i % 4]
+        for _ in range(rnd.choice((1, 200, 350, 500))):
+            x ^= 1 << rnd.randrange(1408)
+        prints.append(x)
+    words = [[x >> 64 * k & (1 << 64) - 1 for k in range(22)] for x in prints]
+    rows = next(similar._indexed(iter([pa.record_batch([pa.array(np.array(words, np.uint64).view(np.int64).tolist(), pa.list_(pa.int64()))], ["prints"])])))
+    rows = rows.take(pa.array(np.argsort(rows.column(0).to_numpy(), kind="stable")))
+    node = np.array([w[0] for w in words], np.uint64).view(np.int64).tolist()
+    at = {a: i for i, a in enumerate(node)}
+    label = [at[a] for a in node]  # equal first words are one node
+    want = list(label)
+    for batch in similar._linked(iter([rows.slice(k, 1000) for k in range(0, rows.num_rows, 1000)])):
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            assert a > b
+            a, b = label[at[a]], label[at[b]]
+            label = [b if x == a else x for x in label]
+    want = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            d = prints[i] ^ prints[j]
+            if (d & (1 << 192) - 1).bit_count() <= 62 and any((d >> 20 * k & (1 << 20) - 1).bit_count() <= 1 for k in range(70)) and want[i] != want[j]:
+                a, b = want[i], want[j]
+                want = [b if x == a else x for x in want]
+    assert [label.index(x) for x in label] == [want.index(x) for x in want] and 4 < len(set(want)) < 200
+
+
+def test_near_duplicates_of_five_words(spark, monkeypatch):
+    """Pairs of 0.8 and of just less, sets of four and five shingles among them, in whole and split buckets."""
+    rnd = random.Random(5)
+    texts, want = [], []
+    for n, more, alike in [(8, 1, True), (8, 2, False), (12, 2, True), (12, 3, False), (104, 25, True), (104, 26, False)] * 12:
+        words = [f"w{rnd.getrandbits(32)}" for _ in range(n + more)]
+        texts += [" ".join(words[:n]), " ".join(words)]
+        want += [len(want), len(want) + (not alike)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for hot in (simhash.HOT, 1):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "SAMPLE", 1)
+        got = {r["id"]: (r["component_id"], int(r["fingerprint"], 16)) for r in simhash.near_duplicates(df, words=5).collect()}
+        assert [got[i][0] for i in range(len(texts))] == want
+        # Fingerprints of near-duplicates are near, too.
+        assert all((got[i][1] ^ got[i + 1][1]).bit_count() < 24 for i in range(8, len(texts), 12))
+
+
 # ---------------------------------------------------------------- decontamination
 
 
